@@ -15,6 +15,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), ngram=4)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.mixing import mixed
+
+    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
