@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    from textloom.llm.chat import preferences
+
+    return preferences(_table(spark, sf_dir, "conversations"), F.expr("conv_id div 2"), F.col("conv_id") % 2 == 0)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from textloom.llm import chat
+
+    return {"op10_preferences": chat.ORACLE}
