@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.spans import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.fingerprint import fingerprints
 
