@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,19 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def _fold(n: int) -> Column:
+    """crc32 of the id's digits, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.toxicity import fit, toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, _table(spark, sf_dir, "labels"), _fold(4) != 2)
+    return toxicity(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "best", "evidence", "segments")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.minhash import near_duplicates
 
