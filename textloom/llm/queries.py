@@ -10,6 +10,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    """crc32 of the id's digits, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs, _fold(4) != 2)).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.spans import without_repeats
 
@@ -22,11 +34,6 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
-def _fold(n: int) -> Column:
-    """crc32 of the id's digits, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.toxicity import fit, toxicity
 
