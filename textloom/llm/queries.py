@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A public model; only its path is used here.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +38,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.pieces import encoded, load
+
+    return encoded(_table(spark, sf_dir, "documents"), load(PIECE_MODEL), digest=True)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.toxicity import fit, toxicity
 
@@ -42,6 +52,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "best", "evidence", "segments")
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.kneser_ney import fit, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    out = scored(docs, fit(docs.where(F.coalesce(_fold(7) != 2, F.lit(True)))))
+    return out.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.minhash import near_duplicates
 
