@@ -72,6 +72,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
     from textloom.llm.chat import preferences
