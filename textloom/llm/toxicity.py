@@ -1,9 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
-A word's score is its log-odds between toxic and clean training documents under
-an informative Dirichlet prior (the prior counts are spread as the words of both
-classes together), less a small cost, so that ordinary text drifts downwards. One
-linear scan of a document finds its best segment; where that is significant, all
+A word, a run of letters without A-Z case, has as its score the log-odds between toxic
+and clean training documents, each counted once a word, under an informative Dirichlet
+prior (spread as the words of both classes together), less a small cost, so that
+ordinary text drifts downwards. A word repeated at once only costs. One linear scan of a document finds its best segment; where that is significant, all
 maximal scoring segments are listed. Significance follows extreme-value theory: over
 ``n`` clean words a score of at least S is expected ``K n exp(-L S)`` times. L solves
 ``E[exp(L s)] = 1`` over clean words, K is fitted to the clean training documents, and a
@@ -27,6 +27,9 @@ from textloom.llm import textkernel as tk
 
 MAX_DOCS, PRIOR, COST, LEAST = 20_000, 500.0, 0.7, 0.05
 _SIEVE = 22
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_LETTER[0x80:] = True
 
 
 @dataclass
@@ -105,17 +108,31 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, end, right - left) for a, left, right, end, _ in found]
 
 
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, index of each document's first word, whether a word is not that before it in its document)."""
+    low = tk.LOWER[data]
+    starts, ends, first = tk.runs(low, offsets, _LETTER[low])
+    hashes = tk.span_hashes(low, starts, ends)
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    fresh[first[:-1][first[:-1] < first[1:]]] = True
+    return hashes, first, fresh
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, occurrences in toxic texts, in clean ones) of the words of each batch of (text, label)."""
+    """(hash, toxic texts with it, clean ones) of the words of each batch of (text, label)."""
     for batch in batches:
         data, offs = tk.buffers(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi in tk.slices(offs):
-            low = tk.LOWER[data[offs[lo] : offs[hi]]]
-            starts, ends, first = tk.words(low, offs[lo : hi + 1] - offs[lo])
-            keys, where = np.unique(tk.span_hashes(low, starts, ends), return_inverse=True)
-            toxic = np.repeat(label[lo:hi], np.diff(first))
-            hits = np.bincount(where, toxic, len(keys)).astype(np.int64)
+            hashes, first, _ = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            doc = np.repeat(np.arange(hi - lo), np.diff(first))
+            order = np.lexsort((doc, hashes))
+            hashes, doc = hashes[order], doc[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+            keys, where = np.unique(hashes[new], return_inverse=True)
+            hits = np.bincount(where, label[lo:hi][doc[new]], len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hits), pa.array(np.bincount(where, minlength=len(keys)) - hits)], ["key", "toxic", "clean"])
 
 
@@ -126,9 +143,8 @@ def _scan(model: Model, spans: bool):
         for batch in batches:
             data, offs = tk.buffers(batch.column(batch.num_columns - 1))
             for lo, hi in tk.slices(offs):
-                low = tk.LOWER[data[offs[lo] : offs[hi]]]
-                starts, ends, first = tk.words(low, offs[lo : hi + 1] - offs[lo])
-                scores = model.of(tk.span_hashes(low, starts, ends))
+                hashes, first, fresh = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                scores = np.where(fresh, model.of(hashes), -model.cost)
                 n, best = np.diff(first), best_segments(scores, first)
                 evidence = model.evidence(best, n)
                 columns = [pa.array(n), pa.array(best), pa.array(evidence)]
@@ -136,7 +152,7 @@ def _scan(model: Model, spans: bool):
                     found: list[list] = [[] for _ in range(hi - lo)]
                     for k in np.flatnonzero(evidence > -np.log(LEAST)).tolist():
                         own = maximal_segments(scores[first[k] : first[k + 1]])
-                        least = (-np.log(LEAST) + model.log_k + np.log(n[k])) / model.rate
+                        least = (-np.log(LEAST) + model.log_k + np.log(max(1, n[k]))) / model.rate
                         found[k] = [{"start": a, "end": b, "score": s} for a, b, s in own if s >= least]
                     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
                     columns += [pa.array(model.probability(evidence)), pa.array(found, kind)]
