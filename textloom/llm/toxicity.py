@@ -76,7 +76,7 @@ def best_segments(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not len(scores):
         return out
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    level = 4 * float(np.abs(total).max()) + 1
+    level = np.ceil(4 * float(np.abs(total).max())) + 1
     doc = np.repeat(np.arange(n), np.diff(first))
     before = total[:-1] - level * doc
     rise = total[1:] - level * doc - np.minimum.accumulate(before)
@@ -168,7 +168,8 @@ def word_scores(toxic: np.ndarray, clean: np.ndarray, prior: float, cost: float)
     t, c = toxic + alpha, clean + alpha
     odds = np.log(t / (toxic.sum() + prior)) - np.log(c / (clean.sum() + prior))
     spread = np.sqrt(1 / t + 1 / c)
-    return np.where(np.abs(odds) > 2 * spread, odds, 0.0) - cost
+    # multiples of 2**-12: sums of them are exact, in whatever order texts are read
+    return np.round((np.where(np.abs(odds) > 2 * spread, odds, 0.0) - cost) * 4096) / 4096
 
 
 def _positive_root(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -217,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     order = np.argsort(keys)
     keys, toxic, clean = keys[order], toxic[order], clean[order]
     scores = word_scores(toxic, clean, prior, cost)
+    cost = round(cost * 4096) / 4096
     listed = scores != -cost
     model = Model(keys[listed], scores[listed], cost)
     if clean.sum():
