@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from textloom.deploy import ship
 
 SEPARATOR = "\x01"
 
@@ -12,6 +17,21 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def arrow(kind, one):
+    """An Arrow function of one string column: ``one`` of each text, null of null."""
+    ship()
+    out = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else one(t) for t in texts.to_pylist()], out)
+
+    return run
+
+
+STRINGS = T.ArrayType(T.StringType())
+
+
 def rx_all(c: Column, pattern: str) -> Column:
     """All whole matches."""
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))

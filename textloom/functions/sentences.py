@@ -11,13 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.functions.rx import col
+from textloom.functions.rx import STRINGS, arrow, col
 
 #: Types that end in a period without ending a sentence.
 ABBREVIATIONS = (
@@ -213,34 +211,15 @@ def sentence_spans(text: str, model: SentenceModel, realign: bool = True) -> lis
     return out or [(len(text) - len(text.lstrip()), len(body))]
 
 
-@lru_cache(maxsize=8)
-def _udf(model_key: int, realign: bool, spans: bool):
-    model = _models[model_key]
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])) if spans else pa.list_(pa.string())
-
-    @F.arrow_udf("array<struct<start:int,end:int>>" if spans else "array<string>")
-    def run(texts: pa.Array) -> pa.Array:
-        found = []
-        for text in texts.to_pylist():
-            if text is None:
-                found.append(None)
-            elif spans:
-                found.append([{"start": a, "end": b} for a, b in sentence_spans(text, model, realign)])
-            else:
-                found.append([text[a:b] for a, b in sentence_spans(text, model, realign)])
-        return pa.array(found, kind)
-
-    return run
-
-
-_models: dict[int, SentenceModel] = {}
 DEFAULT = SentenceModel()
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def _column(text: Column | str, model: SentenceModel | None, realign: bool, spans: bool) -> Column:
     model = model or DEFAULT
-    _models[id(model)] = model
-    return _udf(id(model), realign, spans)(col(text))
+    if spans:
+        return arrow(SPANS, lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t, model, realign)])(col(text))
+    return arrow(STRINGS, lambda t: [t[a:b] for a, b in sentence_spans(t, model, realign)])(col(text))
 
 
 def sent_tokenize(text: Column | str, model: SentenceModel | None = None, realign_boundaries: bool = True) -> Column:

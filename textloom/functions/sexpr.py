@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from textloom.functions.rx import col
+from textloom.functions.rx import STRINGS, arrow, col
 
 
 def groups(text: str, parens: str = "()", strict: bool = True) -> list[str]:
@@ -41,16 +39,12 @@ def sexpr_tokenize(text: Column | str, parens: str = "()", strict: bool = True,
     if len(parens) != 2:
         raise ValueError("parens must be an opening and a closing character")
 
-    @F.arrow_udf("array<string>")
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            try:
-                out.append(None if t is None else groups(t, parens, strict))
-            except ValueError:
-                if on_error == "raise":
-                    raise
-                out.append(None)
-        return pa.array(out, pa.list_(pa.string()))
-
-    return run(col(text))
+    def one(text: str) -> list[str] | None:
+        try:
+            return groups(text, parens, strict)
+        except ValueError:
+            if on_error == "raise":
+                raise
+            return None
+
+    return arrow(STRINGS, one)(col(text))

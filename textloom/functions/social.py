@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.rx import col, rx_all, rx_sub, swap
+from textloom.functions.rx import arrow, col, rx_all, rx_sub, swap
 
 #: Named and quoted characters, in the order in which they are decoded.
 ENTITIES = (
@@ -43,9 +42,8 @@ def _character(m: re.Match) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else ""
 
 
-@F.arrow_udf(T.StringType())
-def _numbered(texts: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else _NUMERIC.sub(_character, t) for t in texts.to_pylist()], pa.string())
+def _numbered(text: str) -> str:
+    return _NUMERIC.sub(_character, text)
 
 
 def unescape(text: Column | str, numeric: bool = True) -> Column:
@@ -53,7 +51,7 @@ def unescape(text: Column | str, numeric: bool = True) -> Column:
     c = col(text)
     for name, ch in ENTITIES:
         c = swap(c, name, ch)
-    return F.when(F.contains(c, F.lit("&#")), _numbered(c)).otherwise(c) if numeric else c
+    return F.when(F.contains(c, F.lit("&#")), arrow(T.StringType(), _numbered)(c)).otherwise(c) if numeric else c
 
 
 def strip_handles(text: Column | str) -> Column:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.rx import col, rx_all
+from textloom.functions.rx import STRINGS, arrow, col, rx_all
 
 VOWELS = "aeiouy"
 #: Fixed value: an onset is legal if more than this share of words starts with it.
@@ -63,12 +62,7 @@ def legality_with_onsets(text: Column | str, onsets: Collection[str], vowels: st
     """Syllables of all words of a text, given the legal onsets (see ``legal_onsets``)."""
     known = frozenset(onsets)
 
-    @F.arrow_udf("array<string>")
-    def run(texts: pa.Array) -> pa.Array:
-        split = lambda t: [s for w in t.split() for s in onset_syllables(w, known, vowels)] if t else [""]
-        return pa.array([t if t is None else split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    return run(col(text))
+    return arrow(STRINGS, lambda t: [s for w in t.split() for s in onset_syllables(w, known, vowels)] if t else [""])(col(text))
 
 
 def sonority_tokenize(word: Column | str, tiers: Sequence[str] = TIERS) -> Column:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from textloom.functions.rx import col
+from textloom.functions.rx import STRINGS, arrow, col
 
 #: Fixed value: how many of the deepest valleys may become cuts.
 MOST_CUTS = 5
@@ -74,8 +72,4 @@ def texttiling_tokenize(text: Column | str, w: int = 20, k: int = 10) -> Column:
     """``segments`` of a text column; ``k`` is accepted and has no effect."""
     del k
 
-    @F.arrow_udf("array<string>")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else segments(t, w) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-    return run(col(text))
+    return arrow(STRINGS, lambda t: segments(t, w))(col(text))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import functions as fn
+from textloom.functions.rx import STRINGS, arrow
 
 
 def tokens(docs: DataFrame, tokenizer: Callable[[Column], Column], text_col: str = "text", id_cols: Sequence[str] = ("doc_id",), holding: str | None = None) -> DataFrame:
@@ -93,15 +93,8 @@ def register(spark: SparkSession) -> list[str]:
     for name, (argument, function) in _SQL.items():
         names.append(name)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({argument}) RETURN {_sql_of(spark, argument, function)}")
-    def arrow(name: str, one: Callable[[str], list[str]]) -> None:
-        @F.arrow_udf("array<string>")
-        def run(texts: pa.Array) -> pa.Array:
-            return pa.array([t if t is None else one(t) for t in texts.to_pylist()], pa.list_(pa.string()))
-
-        spark.udf.register(name, run)
+    row_by_row = {"sent_tokenize": lambda t: [t[a:b] for a, b in sentence_spans(t, DEFAULT)], "sexpr_tokenize": groups, "texttiling_tokenize": segments}
+    for name, one in row_by_row.items():
+        spark.udf.register(name, arrow(STRINGS, one))
         names.append(name)
-
-    arrow("sent_tokenize", lambda t: [t[a:b] for a, b in sentence_spans(t, DEFAULT)])
-    arrow("sexpr_tokenize", lambda t: groups(t))
-    arrow("texttiling_tokenize", lambda t: segments(t))
     return names
