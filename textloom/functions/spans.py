@@ -95,3 +95,31 @@ def is_cjk(ch: Column | str) -> Column:
     for low, high in CJK_RANGES:
         found = found | code.between(low, high)
     return found
+
+
+def regexp_match_spans(text: Column | str, pattern: str, gaps: bool = False) -> Column:
+    """Spans of the matches of ``pattern``, or with ``gaps`` the non-empty ones between them."""
+    c, unicode = col(text), f"(?U){pattern}"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["piece"])
+        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
+        span = F.struct(begin.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    pieces, matches = F.split(c, unicode, -1), rx_all(c, unicode)
+    if gaps:
+        return F.filter(_between(pieces, matches), lambda s: s["start"] != s["end"])
+    return F.aggregate(F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), start, step, lambda acc: acc["spans"])
+
+
+def char_spans(text: Column | str) -> Column:
+    """One span for each code point."""
+    places = F.filter(F.sequence(F.lit(0), F.length(col(text))), lambda i: i < F.length(col(text)))
+    return F.transform(places, lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))
+
+
+def line_spans(text: Column | str, blanklines: str = "discard") -> Column:
+    """Spans of lines: between single line breaks (keep), or between breaks with any blank lines after them."""
+    return string_span_tokenize(text, "\n") if blanklines == "keep" else regexp_span_tokenize(text, r"\n(?:\s+\n)*")

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom import functions as fn
 from textloom.functions import aliases
+from textloom.operators.tokenizers import paragraphs, tokenizer
 from textloom.operators.tokens import token_counts
 
 #: Fixed parameters of the queries.
@@ -256,6 +257,14 @@ _SQL["sonority_tokenize"] = f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract
 _tokens("texttiling_tokenize", DOCUMENTS, fn.texttiling_tokenize)
 _tokens("texttiling_short", PARTS, fn.texttiling_tokenize, "[trim(t)]")
 
+_tokens("paragraphs", TURNS, paragraphs, r"list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')")
+_shown = lambda spans: F.transform(spans, lambda s: F.concat(s["start"], F.lit("-"), s["end"]))
+_tokens("char_spans", PARTS, lambda c: _shown(tokenizer("char").spans(c)), "list_transform(range(0, length(t)), lambda i: CAST(i AS VARCHAR) || '-' || CAST(i + 1 AS VARCHAR))")
+_tokens("wordpunct_spans", PARTS, lambda c: _shown(tokenizer("wordpunct").spans(c)), """list_transform(list_filter(list_transform(range(1, len(string_split(t, ' ')) + 1), lambda i:
+        {'a': coalesce(list_sum(list_transform(string_split(t, ' ')[1:i - 1], lambda x: length(x) + 1)), 0), 'n': length(string_split(t, ' ')[i])}),
+        lambda s: s.n > 0), lambda s: CAST(CAST(s.a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s.a + s.n AS BIGINT) AS VARCHAR))""")
+_tokens("line_spans", DOCUMENTS, lambda c: F.transform(tokenizer("line").spans(c), lambda s: F.substring(c, s["start"] + 1, s["end"] - s["start"])), r"list_filter(string_split(t, chr(10)), lambda x: x <> '')")
+
 # corpus-wide
 _QUERIES["ws_top_tokens"] = lambda spark, d: token_counts(_table(spark, d, "documents"), fn.whitespace_tokenize).orderBy(F.desc("n"), "token").limit(20)
 _SQL["ws_top_tokens"] = r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS token FROM documents) GROUP BY 1 ORDER BY n DESC, token LIMIT 20"
@@ -265,6 +274,34 @@ _QUERIES["toxic_token_counts"] = lambda spark, d: _table(spark, d, "documents").
 _SQL["toxic_token_counts"] = r"SELECT toxic, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS n_tokens FROM documents JOIN labels USING (doc_id) GROUP BY 1"
 
 
+def _unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents that the benchmark lacks: an anti join against a distinct vocabulary."""
+    listed = _table(spark, sf_dir, "benchmark").select(F.explode(fn.whitespace_tokenize("text")).alias("token")).distinct()
+    return token_counts(_table(spark, sf_dir, "documents"), fn.whitespace_tokenize).join(listed, "token", "left_anti").where("n > 20")
+
+
+def _source_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent tokens of each source."""
+    rows = _table(spark, sf_dir, "documents").select("source", F.explode(fn.whitespace_tokenize("text")).alias("token")).groupBy("source", "token").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "token"))
+    return rows.withColumn("rank", rank).where("rank <= 3")
+
+
+def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, tokens and distinct tokens by language and source, with subtotals of tokens."""
+    rows = _table(spark, sf_dir, "documents").select("lang", "source", F.size(fn.whitespace_tokenize("text")).alias("n"))
+    return rows.rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum("n").alias("n_tokens"))
+
+
+_UNNESTED = r"(SELECT source, unnest(regexp_extract_all(text, '\S+')) AS token FROM documents)"
+_QUERIES |= {"unlisted_tokens": _unlisted, "source_top_tokens": _source_top, "token_rollup": _rollup}
+_SQL |= {
+    "unlisted_tokens": rf"SELECT token, count(*) AS n FROM {_UNNESTED} WHERE token NOT IN (SELECT unnest(regexp_extract_all(text, '\S+')) FROM benchmark) GROUP BY 1 HAVING count(*) > 20",
+    "source_top_tokens": f"SELECT source, token, n, CAST(rank AS INTEGER) AS rank FROM (SELECT source, token, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, token) AS rank FROM {_UNNESTED} GROUP BY 1, 2) WHERE rank <= 3",
+    "token_rollup": r"SELECT lang, source, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY ROLLUP (lang, source)",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
