@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import written
+from textloom.llm.shared import bounded_batches, written
 
 K, S, MOST = 12, 4, 256
 
@@ -131,6 +131,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives no rows. Columns: doc_id, n_chars (code points), edited_sha256,
     fingerprint, edited_fingerprint, near_edited and near_next (0 to 1).
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.count()

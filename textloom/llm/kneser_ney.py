@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import new_path, written
+from textloom.llm.shared import bounded_batches, new_path, written
 
 BLOCK_BYTES = 4 << 20
 SHARD_KEYS = 2_000_000
+GATHER = 3_000_000
 END = np.uint64(0x656E64206F66206C)
 
 
@@ -114,17 +115,27 @@ def _bits(keys: int, per_shard: int) -> int:
     return max(0, (max(1, keys) // per_shard).bit_length())
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted distinct keys, counts) of the texts of several batches, whenever ``GATHER`` keys are together."""
+    held, size = [], 0
+    for batch in batches:
+        data, offs = tk.buffers(batch.column(0))
+        for lo, hi in tk.slices(offs, BLOCK_BYTES):
+            held.append(np.unique(keys_of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]), return_counts=True))
+            size += len(held[-1][0])
+            if size > GATHER:
+                yield summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                held, size = [], 0
+    if held:
+        yield summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+
+
 def _word_blocks(bits: int):
-    """(shard, n, packed hashes, counts) of the words of each batch."""
+    """(shard, n, packed hashes, counts) of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = tk.buffers(batch.column(0))
-            held = []
-            for lo, hi in tk.slices(offs, BLOCK_BYTES):
-                held.append(np.unique(streams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])[0], return_counts=True))
-            if held:
-                yield _blocks(*summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])), bits)
+        for keys, counts in _gathered(batches, lambda data, offs: streams(data, offs)[0]):
+            yield _blocks(keys, counts, bits)
 
     return run
 
@@ -214,16 +225,15 @@ def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pair_blocks(words: Words, bits: int):
+    """(shard, n, packed pairs, counts) of each token with the one before it."""
+
+    def pairs(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        hashes, bounds = streams(data, offs)
+        return _pairs(words.find(hashes)[0], bounds, words.size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = tk.buffers(batch.column(0))
-            held = []
-            for lo, hi in tk.slices(offs, BLOCK_BYTES):
-                hashes, bounds = streams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                held.append(np.unique(_pairs(words.find(hashes)[0], bounds, words.size), return_counts=True))
-            if held:
-                keys, counts = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                yield _blocks(keys, counts, bits, _shard_of(keys, bits))
+        for keys, counts in _gathered(batches, pairs):
+            yield _blocks(keys, counts, bits, _shard_of(keys, bits))
 
     return run
 
@@ -334,6 +344,7 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
 
     What reaches the driver are the sizes of the shards and counts of counts.
     """
+    bounded_batches(texts.sparkSession)
     spark = texts.sparkSession
     rows = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     uri = new_path(spark, "model")
@@ -390,5 +401,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     frequencies. Null and blank texts are the end token alone. After a word that the
     training texts lack, the lower level is used alone. No rows give none.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_score(model), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double").withColumnRenamed("id", id_col)

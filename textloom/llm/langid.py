@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
+from textloom.llm.shared import bounded_batches
 
 CHUNK, HIDDEN, PER_LABEL, WINDOWS, STEPS, RATE = 64, 8, 1500, 4, 500, 0.02
 UNKNOWN = "und"
@@ -225,6 +226,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
     None if there are none. Documents are drawn by the hash of their id.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = Window.partitionBy("label").orderBy("mark", "id")
     marked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.xxhash64(id_col).alias("mark"))
@@ -246,5 +248,6 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     without letters, or any text for want of training rows is ``und`` with score 0.
     An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_predict(net), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import written
+from textloom.llm.shared import bounded_batches, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 4096
@@ -135,6 +135,7 @@ def mixed(
     taken as often as is certain. The result depends on the rows and ``seed`` only,
     not on their order or partitions. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     sized = text.mapInArrow(count_words, "id long, source string, size long")
     units = written(sized.groupBy("id", "source", "size").agg(F.count("*").alias("copies")), "units")

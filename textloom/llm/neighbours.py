@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import written
+from textloom.llm.shared import bounded_batches, written
 
 M, TAU, SAMPLE, CELL, LEAF, QUERIES = 8, 0.98, 20_000, 4096, 64, 1024
 
@@ -185,6 +185,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     id and vector count once. No rows give none.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark, 16 << 20)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null").where(_finite(F.col("vector")))
     rows = written(rows.groupBy("id", "vector").agg(F.max("asks").alias("asks")), "vectors")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.deploy import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
@@ -24,6 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Keep the batches of rows that go to Python workers to about ``size`` bytes, and so both sides' buffers.
+
+    The package is sent along, if need be. Long texts would otherwise fill batches of any number of bytes. A lower limit of the session stays.
+    """
+    ship()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower()
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = int("".join(c for c in now if c.isdigit()) or 0)
+    unit = next((units[c] for c in now if c in "kmg"), 1)
+    if not 0 < number * unit <= size:
+        spark.conf.set(key, str(size))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}/{name}"
@@ -40,6 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The rows in at most four tasks for each core of the cluster, without a shuffle: for tables of
+    links, which are small beside the texts, so that many partitions of few rows cost no tasks of their own."""
+    return df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by ``written`` once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import written
+from textloom.llm.shared import bounded_batches, written
 
 MIN_WORDS = 20
 _ENDS, _CLOSES = np.zeros(256, bool), np.zeros(256, bool)
@@ -141,6 +141,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id are documents of their own, in the order of their texts' hashes; of equal rows
     the later ones lose what the first one has. A table without rows gives none.
     """
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     text = rows.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     runs = text.mapInArrow(_runs(min_words), "hash long, key long, place int")

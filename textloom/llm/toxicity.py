@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
+from textloom.llm.shared import bounded_batches
 
 MAX_DOCS, PRIOR, COST, LEAST = 20_000, 500.0, 0.7, 0.05
 _SIEVE = 22
@@ -209,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     An id with several labels counts as toxic if one says so. Without labels of both
     kinds every text scores the share of toxic ones (0 without labels).
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "label")
@@ -243,6 +245,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     segments as word ranges [start, end) with their sums. Null and blank texts have no
     words and score as a text without any evidence. Only the text is read. No rows give none.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(_scan(model, True), "id long, n_words long, best double, evidence double, score double, segments array<struct<start:int,end:int,score:double>>")
     return out.withColumnRenamed("id", id_col)
