@@ -11,8 +11,10 @@ its borders would also happen in the two pieces alone. Encoding composes the
 machines with the input, lazily, and takes the shortest path in the tropical semiring
 (minimum, plus). States are (place, last piece).
 
-No piece may hold a space mark after another character, so words compose on their own
-and each worker keeps the paths of the words it has seen, up to ``CACHE`` of them.
+In a merge model the pair machine leaves one state alive at each place: the last piece of
+the text so far. No piece may hold a space mark after another character, so words compose
+on their own, and each worker keeps the paths of the words it has seen over
+all its tasks, up to ``CACHE`` of them.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, CACHE = "▁", 400_000
+from textloom.llm.shared import bounded_batches
+
+MARK, CACHE = "▁", 1_000_000
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 INF = float("inf")
 
@@ -59,6 +63,21 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
         yield key >> 3, value
 
 
+class Paths(dict):
+    """Packed ids of words, found when first asked for."""
+
+    def __init__(self, path) -> None:
+        super().__init__()
+        self.path = path
+
+    def __missing__(self, word: str) -> bytes:
+        found = array("i", self.path(word.replace(" ", MARK))).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found
+        return found
+
+
 @dataclass
 class Transducer:
     """A compiled model; ``ids`` has the pieces that text can match."""
@@ -71,11 +90,14 @@ class Transducer:
     trim: bool = False
     ids: dict = field(default_factory=dict)
     pairs: dict = field(default_factory=dict, repr=False)
-    words: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.ids = {n: k for k, (n, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind in (NORMAL, DEFINED)}
         self.longest = max(map(len, self.ids), default=1)
+        # the lexicon as a tree: what starts a piece, with its id where it is one
+        self.tree = {n[:k]: -1 for n in self.ids for k in range(1, len(n))} | self.ids
+        self.words = Paths(self.merge_path if self.merges else self.path)
+        self.key = hashlib.md5(repr((self.names, self.scores)).encode()).hexdigest()
         self.bytes_ = {int(n[3:5], 16): k for k, (n, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind == BYTE}
         self.unknown = next((k for k, kind in enumerate(self.kinds) if kind == UNKNOWN), None)
         if any(MARK in n.lstrip(MARK) for n in self.ids):
@@ -85,8 +107,8 @@ class Transducer:
             self.shown[self.unknown] = " ⁇ "
         self.of_byte = {k: b for b, k in self.bytes_.items()}
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("pairs", "words")} | {"pairs": {}, "words": {}}
+    def __reduce__(self):
+        return Transducer, (self.names, self.kinds, self.scores, self.merges, self.dummy_prefix, self.trim)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging the best-ranked neighbours first, leftmost among equals."""
@@ -105,13 +127,54 @@ class Transducer:
         """Weight of ``piece`` after ``last`` (-1: none, or one that came from bytes)."""
         if not self.merges:
             return -self.scores[piece]
-        key = last << 32 | piece if last >= 0 else ~piece
-        known = self.pairs.get(key)
+        row = self.pairs.setdefault(last, {})
+        known = row.get(piece)
         if known is None:
             names = ([self.names[last]] if last >= 0 else []) + [self.names[piece]]
-            known = self.pairs[key] = 0.0 if self.merged("".join(names)) == names else INF
+            known = row[piece] = 0.0 if self.merged("".join(names)) == names else INF
         return known
 
+    def merge_path(self, word: str) -> list[int]:
+        """``path`` of a merge model: the one state of each place goes forward over the pieces that its pairs allow."""
+        n, tree, pairs = len(word), self.tree, self.pairs
+        last, came = [None] * (n + 1), [0] * (n + 1)
+        last[0] = -1
+        for at in range(n):
+            own = last[at]
+            if own is None:
+                continue
+            row = pairs.get(own)
+            if row is None:
+                row = pairs[own] = {}
+            for end in range(at + 1, n + 1):
+                piece = tree.get(word[at:end])
+                if piece is None:
+                    if end == at + 1:
+                        last[end], came[end] = -1, at
+                    break
+                if piece < 0:
+                    continue
+                known = row.get(piece)
+                if known is None:
+                    known = self.weight(own, piece)
+                if known == 0.0:
+                    last[end], came[end] = piece, at
+            if last[at + 1] is None and word[at] not in self.ids:  # starts pieces, but is none
+                last[at + 1], came[at + 1] = -1, at
+        out: list[int] = []
+        at = n
+        while at > 0:
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out.extend(self.outside(word[came[at] : at])[::-1])
+            at = came[at]
+        return out[::-1]
+
+    def outside(self, text: str) -> list[int]:
+        """Ids of a character in no piece: its bytes, or the unknown piece."""
+        return [self.bytes_[b] for b in text.encode("utf-8", "replace")] if self.bytes_ else [self.unknown]
+
     def path(self, word: str) -> list[int]:
         """The shortest path through one word's composition: its piece ids."""
         rare = min(self.scores, default=0.0) - 10.0 if not self.merges else -1.0
@@ -141,10 +204,8 @@ class Transducer:
             _, before, previous = states[at][last]
             if last >= 0:
                 out.append(last)
-            elif self.bytes_:
-                out.extend(self.bytes_[b] for b in reversed(word[before:at].encode("utf-8", "replace")))
             else:
-                out.append(self.unknown)
+                out.extend(self.outside(word[before:at])[::-1])
             at, last = before, previous
         return out[::-1]
 
@@ -156,17 +217,8 @@ class Transducer:
 
     def encode(self, text: str) -> array:
         """Piece ids of a text."""
-        words = self.words
-        units = _UNITS.findall(self.normalised(text))
-        for unit in set(units).difference(words):
-            if len(words) >= CACHE:
-                words.clear()
-                self.pairs.clear()
-                break
-        for unit in set(units).difference(words):
-            words[unit] = array("i", self.path(unit.replace(" ", MARK))).tobytes()
         out = array("i")
-        out.frombytes(b"".join(map(words.__getitem__, units)))
+        out.frombytes(b"".join(map(self.words.__getitem__, _UNITS.findall(self.normalised(text)))))
         return out
 
     def decode(self, ids: array) -> str:
@@ -214,8 +266,15 @@ def load(path: str) -> Transducer:
     return Transducer(names, kinds, scores, merges, bool(rules[3]), bool(rules[4]))
 
 
-def _encoded(fst: Transducer, digest: bool):
+#: The transducers of this process, whose known words outlive a task.
+_live: dict[str, Transducer] = {}
+
+
+def _encoded(sent: Transducer, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from textloom.llm import pieces
+
+        fst = pieces._live.setdefault(sent.key, sent)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 done = []
@@ -241,6 +300,7 @@ def encoded(docs: DataFrame, fst: Transducer, id_col: str = "doc_id", text_col:
     numbers), ``decoded`` their text again (with ``digest``: its MD5), ``exact`` whether that
     equals the text. A null text has nulls, an empty one no pieces. No rows give none.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "string" if digest else "array<int>"
     return rows.mapInArrow(_encoded(fst, digest), f"id long, n_pieces long, pieces {kind}, decoded string, exact boolean").withColumnRenamed("id", id_col)
