@@ -17,7 +17,7 @@ from textloom.llm.shared import written
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 #: A language that scores lower is none: text that fits no learned language.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: No SQL expresses these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
