@@ -1,9 +1,11 @@
 """Toxic passages by maximum-scoring segments.
 
-A word, a run of letters without A-Z case, has as its score the log-odds between toxic
-and clean training documents, each counted once a word, under an informative Dirichlet
-prior (spread as the words of both classes together), less a small cost, so that
-ordinary text drifts downwards. A word repeated at once only costs. One linear scan of a document finds its best segment; where that is significant, all
+Tokens are words, runs of letters without A-Z case. A word's features are the word and
+its first 4, 5 and 6 bytes, since insults inflect and compound. A feature has the log-odds
+between toxic and clean training documents, each counted once, under an informative
+Dirichlet prior (spread as the features of both classes together), or none where they are within ``SURE``
+standard deviations. A word scores as its feature of the largest odds either way, less a small
+cost, so that ordinary text drifts downwards. A word repeated at once only costs. One linear scan of a document finds its best segment; where that is significant, all
 maximal scoring segments are listed. Significance follows extreme-value theory: over
 ``n`` clean words a score of at least S is expected ``K n exp(-L S)`` times. L solves
 ``E[exp(L s)] = 1`` over clean words, K is fitted to the clean training documents, and a
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from textloom.llm import textkernel as tk
 from textloom.llm.shared import bounded_batches
 
-MAX_DOCS, PRIOR, COST, LEAST = 20_000, 500.0, 0.7, 0.05
+MAX_DOCS, PRIOR, SURE, COST, LEAST = 20_000, 0.05, 2.5, 0.7, 0.05
 _SIEVE = 22
+_LEADS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
@@ -35,10 +38,10 @@ _LETTER[0x80:] = True
 
 @dataclass
 class Model:
-    """Sorted word hashes with their scores; words not listed score ``-cost``."""
+    """Sorted feature hashes with their odds; words without any of them score ``-cost``."""
 
     keys: np.ndarray
-    scores: np.ndarray
+    odds: np.ndarray
     cost: float = COST
     rate: float = 1.0
     log_k: float = 0.0
@@ -49,19 +52,21 @@ class Model:
         self.sieve = np.zeros(1 << _SIEVE, bool)
         self.sieve[(self.keys >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -self.cost)
-        maybe = np.flatnonzero(self.sieve[(hashes >> np.uint64(64 - _SIEVE)).astype(np.int64)])
-        if len(maybe):
-            own = hashes[maybe]
-            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-            hit = self.keys[at] == own
-            out[maybe[hit]] = self.scores[at[hit]]
-        return out
+    def of(self, features: np.ndarray) -> np.ndarray:
+        """Scores of words from their features [kinds, words]."""
+        odds = np.zeros(features.shape[1])
+        for own in features:
+            maybe = np.flatnonzero(self.sieve[(own >> np.uint64(64 - _SIEVE)).astype(np.int64)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(self.keys, own[maybe]), len(self.keys) - 1)
+                hit = self.keys[at] == own[maybe]
+                found, where = self.odds[at[hit]], maybe[hit]
+                odds[where] = np.where(np.abs(found) > np.abs(odds[where]), found, odds[where])
+        return odds - self.cost
 
     def evidence(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """``-ln`` of the expected number of segments as good in ``n`` clean words."""
-        return self.rate * best - self.log_k - np.log(np.maximum(n, 1))
+        """``-ln`` of the expected number of segments as good in ``n`` clean words, short texts counting as those that expect one of sum 0."""
+        return self.rate * best - np.maximum(0.0, self.log_k + np.log(np.maximum(n, 1)))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -30, 30)))
@@ -110,24 +115,28 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, index of each document's first word, whether a word is not that before it in its document)."""
+    """(features [kinds, words], index of each document's first word, whether a word is not that before it in its document)."""
     low = tk.LOWER[data]
     starts, ends, first = tk.runs(low, offsets, _LETTER[low])
-    hashes = tk.span_hashes(low, starts, ends)
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = hashes[1:] != hashes[:-1]
+    features = [tk.span_hashes(low, starts, ends)]
+    for n in _LEADS:
+        lead = tk.span_hashes(low, starts, np.minimum(starts + n, ends))
+        features.append(np.where(ends - starts > n, tk.mix(lead + np.uint64(n)), features[0]))
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = features[0][1:] != features[0][:-1]
     fresh[first[:-1][first[:-1] < first[1:]]] = True
-    return hashes, first, fresh
+    return np.stack(features), first, fresh
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, toxic texts with it, clean ones) of the words of each batch of (text, label)."""
+    """(hash, toxic texts with it, clean ones) of the features of each batch of (text, label)."""
     for batch in batches:
         data, offs = tk.buffers(batch.column(0))
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for lo, hi in tk.slices(offs):
-            hashes, first, _ = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            doc = np.repeat(np.arange(hi - lo), np.diff(first))
+            features, first, _ = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            doc = np.tile(np.repeat(np.arange(hi - lo), np.diff(first)), len(features))
+            hashes = features.ravel()
             order = np.lexsort((doc, hashes))
             hashes, doc = hashes[order], doc[order]
             new = np.ones(len(hashes), bool)
@@ -144,8 +153,8 @@ def _scan(model: Model, spans: bool):
         for batch in batches:
             data, offs = tk.buffers(batch.column(batch.num_columns - 1))
             for lo, hi in tk.slices(offs):
-                hashes, first, fresh = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                scores = np.where(fresh, model.of(hashes), -model.cost)
+                features, first, fresh = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                scores = np.where(fresh, model.of(features), -model.cost)
                 n, best = np.diff(first), best_segments(scores, first)
                 evidence = model.evidence(best, n)
                 columns = [pa.array(n), pa.array(best), pa.array(evidence)]
@@ -153,7 +162,7 @@ def _scan(model: Model, spans: bool):
                     found: list[list] = [[] for _ in range(hi - lo)]
                     for k in np.flatnonzero(evidence > -np.log(LEAST)).tolist():
                         own = maximal_segments(scores[first[k] : first[k + 1]])
-                        least = (-np.log(LEAST) + model.log_k + np.log(max(1, n[k]))) / model.rate
+                        least = (-np.log(LEAST) + max(0.0, model.log_k + np.log(max(1, n[k])))) / model.rate
                         found[k] = [{"start": a, "end": b, "score": s} for a, b, s in own if s >= least]
                     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
                     columns += [pa.array(model.probability(evidence)), pa.array(found, kind)]
@@ -162,15 +171,28 @@ def _scan(model: Model, spans: bool):
     return run
 
 
-def word_scores(toxic: np.ndarray, clean: np.ndarray, prior: float, cost: float) -> np.ndarray:
-    """Log-odds under a Dirichlet prior spread as all words, halved evidence for words seen once or so, less the cost."""
-    both = toxic + clean
-    alpha = prior * both / max(1, both.sum())
+def _spread(model: Model):
+    """(score, words) of the words of clean texts, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = tk.buffers(batch.column(0))
+            for lo, hi in tk.slices(offs):
+                features, _, fresh = letter_words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                scores, n = np.unique(np.where(fresh, model.of(features), -model.cost), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(scores), pa.array(n)], ["score", "n"])
+
+    return run
+
+
+def feature_odds(toxic: np.ndarray, clean: np.ndarray, prior: float) -> np.ndarray:
+    """Log-odds under a Dirichlet prior of ``prior`` times the counts of both classes, 0 within ``SURE`` standard deviations."""
+    alpha = prior * (toxic + clean)
     t, c = toxic + alpha, clean + alpha
-    odds = np.log(t / (toxic.sum() + prior)) - np.log(c / (clean.sum() + prior))
+    odds = np.log(t / max(1e-9, t.sum())) - np.log(c / max(1e-9, c.sum()))
     spread = np.sqrt(1 / t + 1 / c)
     # multiples of 2**-12: sums of them are exact, in whatever order texts are read
-    return np.round((np.where(np.abs(odds) > 2 * spread, odds, 0.0) - cost) * 4096) / 4096
+    return np.round(np.where(np.abs(odds) > SURE * spread, odds, 0.0) * 4096) / 4096
 
 
 def _positive_root(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -219,12 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     toxic, clean = counted["toxic"].to_numpy(), counted["clean"].to_numpy()
     order = np.argsort(keys)
     keys, toxic, clean = keys[order], toxic[order], clean[order]
-    scores = word_scores(toxic, clean, prior, cost)
-    cost = round(cost * 4096) / 4096
-    listed = scores != -cost
-    model = Model(keys[listed], scores[listed], cost)
-    if clean.sum():
-        model.rate = _positive_root(scores, clean.astype(float))
+    odds, cost = feature_odds(toxic, clean, prior), round(cost * 4096) / 4096
+    model = Model(keys[odds != 0], odds[odds != 0], cost)
+    spread = texts.where("label = 0").select("text").mapInArrow(_spread(model), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toArrow()
+    if spread.num_rows:
+        model.rate = _positive_root(spread["score"].to_numpy(), spread["n"].to_numpy().astype(float))
     seen = texts.select("label", "text").mapInArrow(_scan(model, False), "label int, n_words long, best double, evidence double").select("label", "n_words", "best").toArrow()
     y, n, best = (seen[c].to_numpy().astype(float) for c in ("label", "n_words", "best"))
     if len(y) and (y == 0).any():
