@@ -57,3 +57,16 @@ def test_empty_and_repeated(spark):
     rows = [(5, "a b c d e f", None, None, None), (5, "a b c d e f", None, None, None), (None, "a b c d e f", None, None, None), (3, "A b C d e f", None, None, None), (5, "p q r s t u", None, None, None), (2, "p q r s t u", None, None, None)]
     got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "component_id", "kept").collect() if r[0] is not None)
     assert got == [(2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (5, 2, False)]
+
+
+def test_large_group_of_different_copies(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(140)]
+    rows = []
+    for k in range(600):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8])):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame([(d, t, "x", 1, None) for d, t in rows], SCHEMA)
+    assert {tuple(r) for r in near_duplicates(df, ngram=4).collect()} == brute(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import written
+from textloom.llm.shared import packed, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -15,25 +15,27 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = near.join(least, "u")
+    linked = packed(near.join(least, "u"))
     if large:
         hung = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         hung = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return hung.where("u <> v").distinct()
+    return packed(hung.where("u <> v").distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge hangs a leaf on a centre: no upper end twice, and none that is a lower end."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (u, v): component is the smallest id reachable.
 
     Null ends and loops are ignored; no edges give no rows. Each pass is written
-    to the shared folder, and only two numbers a pass reach the driver.
+    to the shared folder, and only whether another is needed reaches the driver.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1000003).cast("long")).alias("h")).first()
-        if tuple(mark) == before or mark["n"] == 0:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        before = tuple(mark)
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().transform(packed), "edges")
+    while not _settled(now):
         now = written(_stars(_stars(now, True), False), "edges")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -7,11 +7,14 @@ like large ones. Groups of ``rows`` bins form ``bands`` buckets. At 5 rows and 4
 bands a pair at similarity 0.8 shares no bucket with probability 1.2e-7.
 
 Copies with equal sets are one node from the start. A bucket emits star edges
-only: its smallest node against the others. Links are confirmed on the full sets.
-A bucket whose nodes have not all met in one component goes on, without the
-centres that have been compared and with four times as many new ones each round,
-until every two of its nodes are either in one component or have been compared.
-So no link between documents that share a bucket is lost, whatever its size.
+only: a centre, drawn by hash anew for each bucket, against the others, so that a
+document meets up to ``bands`` centres. Links are confirmed on the full sets. Buckets
+whose nodes have then not all met in one component go on. Those of up to ``SMALL``
+nodes compare every two that are not joined yet. Larger ones draw ``CENTRES`` new centres round after
+round, until a whole round confirms no further link: pairs stay in proportion to the
+rows, however large a group is. Before sets are fetched, two bits of each bin's
+minimum must agree as often as those of sets at the threshold do, less five standard
+deviations (a further 3e-7 of pairs at the threshold itself).
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
 from textloom.llm.graph import components
-from textloom.llm.shared import written
+from textloom.llm.shared import bounded_batches, packed, written
 
-NGRAM, THRESHOLD, BANDS, ROWS = 5, 80, 40, 5
+NGRAM, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 80, 40, 5, 16, 3
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -63,6 +66,23 @@ def _band_hashes(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return tk.mix(out + np.arange(bands, dtype=np.uint64))
 
 
+def _planes(minima: np.ndarray) -> np.ndarray:
+    """Two bits of each bin's scrambled minimum, packed into words: all first bits, then all second bits."""
+    bits = tk.mix(minima)
+    width = -(-minima.shape[1] // 64) * 64
+    out = []
+    for k in (0, 1):
+        plane = np.zeros((len(minima), width), bool)
+        plane[:, : minima.shape[1]] = (bits >> np.uint64(17 + k)) & np.uint64(1)
+        out.append(np.packbits(plane, axis=1).view(np.uint64))
+    return np.concatenate(out, axis=1)
+
+
+def _lists(held: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(held * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).view(np.int64).ravel()))
+
+
 def _signatures(ngram: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = _orders(bands * rows)
@@ -73,11 +93,11 @@ def _signatures(ngram: int, bands: int, rows: int):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([(s.sum(dtype=np.uint64), tk.mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 held = np.flatnonzero(sizes)
-                hashes = _band_hashes(one_permutation([sets[k] for k in held], bands * rows, orders), bands, rows) if len(held) else np.zeros((0, bands), np.uint64)
-                ends = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
+                minima = one_permutation([sets[k] for k in held], bands * rows, orders) if len(held) else np.zeros((0, bands * rows), np.uint64)
+                hashes, planes = _band_hashes(minima, bands, rows), _planes(minima)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64).ravel()))],
-                    ["id", "size", "k1", "k2", "bands"],
+                    [batch.column(0)[lo:hi], pa.array(sizes), pa.array(keys[:, 0]), pa.array(keys[:, 1]), _lists(sizes > 0, hashes), _lists(sizes > 0, planes)],
+                    ["id", "size", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
@@ -98,13 +118,17 @@ def _sets(ngram: int):
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (u, v) whose full sets are alike enough."""
     a, b = sets.select(F.col("id").alias("u"), F.col("items").alias("a")), sets.select(F.col("id").alias("v"), F.col("items").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("same"))
+    both = packed(packed(pairs.join(a, "u")).join(b, "v")).select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("same"))
     return both.where((100 * F.col("same")) >= threshold * (F.col("n") - F.col("same"))).select("u", "v").distinct()
 
 
-def _similar_sizes(threshold: int):
-    """Sets of very different sizes cannot be alike."""
-    return 100 * F.least("size", "centre_size") >= threshold * F.greatest("size", "centre_size")
+def _alike(a: str, b: str, threshold: int, bins: int) -> Column:
+    """Whether sets ``a`` and ``b`` may reach the threshold, by their sizes and sketches."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    half = -(-bins // 64)
+    apart = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k]).bitwiseOR(F.col(f"{a}.sketch")[k + half].bitwiseXOR(F.col(f"{b}.sketch")[k + half]))) for k in range(half)), F.lit(0))
+    rate = 0.75 * (1 - threshold / 100)
+    return (100 * F.least(x, y) >= threshold * F.greatest(x, y)) & (apart <= int(bins * rate + 5 * (bins * rate * (1 - rate)) ** 0.5 + 1))
 
 
 def near_duplicates(
@@ -125,41 +149,53 @@ def near_duplicates(
     reachable over links, itself included. Rows that share an id are one document of
     several texts. A null id has a null component and is kept. No rows give none.
     """
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(text.mapInArrow(_signatures(ngram, bands, rows), "id long, size long, k1 long, k2 long, bands array<long>"), "signatures")
+    bounded_batches(docs.sparkSession)
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = written(text.mapInArrow(_signatures(ngram, bands, rows), "id long, size long, k1 long, k2 long, bands array<long>, sketch array<long>"), "signatures")
     classes = signed.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("node"), F.min("size").alias("size"))
     classes = written(classes, "classes")
-    nodes = signed.where("size > 0").join(classes.select("k1", "k2", F.col("node").alias("id")), ["k1", "k2", "id"], "left_semi")
-    placed = nodes.dropDuplicates(["id", "k1", "k2"]).select("id", "size", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("centre.id").alias("centre"), F.col("centre.size").alias("centre_size"))
-    members = written(placed.join(shared, "bucket"), "members")
-
-    pairs = written(members.where("id <> centre").where(_similar_sizes(threshold)).select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
+    nodes = signed.where("size > 0").join(classes.select("k1", "k2", F.col("node").alias("id")), ["k1", "k2", "id"], "left_semi").dropDuplicates(["id", "k1", "k2"])
+    placed = nodes.select("id", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    grouped = placed.join(shared, "bucket", "left_semi")
+    members = written(grouped.join(nodes.select("id", "size", "sketch"), "id"), "members")
+    near = _alike("a", "b", threshold, bands * rows)
+
+    def stars(labelled: DataFrame, turn: int, count: int) -> DataFrame:
+        """Pairs of each bucket's ``count`` centres of this turn and what is not joined to them."""
+        node = F.struct("id", "size", "sketch", "component")
+        drawn = [F.min_by(node, F.xxhash64("id", "bucket", F.lit(turn), F.lit(k))) for k in range(count)]
+        centres = labelled.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("c"))
+        centres = packed(centres).select("bucket", F.explode("c").alias("c")).select("bucket", "c.*")
+        met = labelled.alias("a").join(centres.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & near)
+        return packed(met).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+
+    pairs = written(packed(stars(members.withColumn("component", F.col("id")), 0, 1).distinct()), "pairs")
     involved = members.select("id").distinct()
     sets = written(text.where("id is not null").join(involved, "id", "left_semi").mapInArrow(_sets(ngram), "id long, items array<long>"), "sets")
-    copies = signed.where("size > 0").join(classes, ["k1", "k2"]).where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
-    links = written(_confirmed(pairs, sets, threshold), "links")
-    joined = components(links)
-    active, centres = members.where("id <> centre").select("bucket", "id", "size"), 1
+    links = written(packed(_confirmed(pairs, sets, threshold)), "links")
+    joined, turn = components(links), 0
     while True:
-        centres *= 4
-        labelled = active.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        open_rows = written(labelled.join(mixed, "bucket"), "open")
-        if open_rows.isEmpty():
+        turn += 1
+        labelled = written(packed(members.join(joined, "id", "left")).withColumn("component", F.coalesce("component", "id")), "labelled")
+        if turn == 1:
+            mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most and n > 2").select("bucket", "n")
+            labelled = written(packed(labelled.join(packed(mixed), "bucket")), "mixed")
+        members = labelled
+        met = stars(members.where(F.col("n") > SMALL), turn, CENTRES)
+        if turn == 1:
+            few = members.where(F.col("n") <= SMALL)
+            both = few.alias("a").join(few.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & near)
+            met = met.unionByName(both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))
+        fresh = written(packed(packed(met.distinct()).join(pairs, ["u", "v"], "left_anti")), "pairs")
+        found = written(packed(_confirmed(fresh, sets, threshold)), "found")
+        if found.isEmpty():
             break
-        by_bucket = Window.partitionBy("bucket").orderBy("id")
-        chosen = written(open_rows.withColumn("rank", F.row_number().over(by_bucket)).where(F.col("rank") <= centres), "centres")
-        c = chosen.select("bucket", F.col("id").alias("centre"), F.col("size").alias("centre_size"), F.col("component").alias("centre_component"))
-        tried = open_rows.join(c, "bucket").where("id > centre and component <> centre_component").where(_similar_sizes(threshold))
-        fresh = tried.select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-        fresh = written(fresh, "pairs")
-        found = _confirmed(fresh, sets, threshold)
-        pairs = pairs.unionByName(fresh)
-        links = written(links.unionByName(found), "links")
-        joined = components(links)
-        active = open_rows.select("bucket", "id", "size").join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        pairs, links = pairs.unionByName(fresh), links.unionByName(found)
+        joined = written(components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)).transform(packed), "joined")
+        members = members.where(F.col("n") > SMALL).drop("component")
 
+    copies = signed.where("size > 0").join(classes.drop("size"), ["k1", "k2"]).where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     repeated = signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if not repeated.isEmpty():  # an id with several texts joins the classes of all of them
         joined = components(links.unionByName(copies.join(repeated.select(F.col("id").alias("u")), "u", "left_semi")))
@@ -167,3 +203,21 @@ def near_duplicates(
     out = signed.select("id", F.col("size").alias("n_shingles"), "k1", "k2").join(labels, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The same rows by comparing all documents that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

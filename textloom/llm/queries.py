@@ -90,6 +90,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from textloom.llm import chat
+    from textloom.llm import chat, minhash
 
-    return {"op10_preferences": chat.ORACLE}
+    return {"op7_minhash": minhash.ORACLE, "op10_preferences": chat.ORACLE}
