@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import bounded_batches
+from textloom.llm.shared import bounded_batches, written
 
 CHUNK, HIDDEN, PER_LABEL, WINDOWS, STEPS, RATE = 64, 8, 1500, 4, 500, 0.02
 UNKNOWN = "und"
+#: Drawn rows are broadcast up to this number (some 40 MB), else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[0x80:] = True
@@ -232,7 +234,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     marked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.xxhash64(id_col).alias("mark"))
     drawn = marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id", "label")
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
-    pieces = texts.join(drawn, ["id", "label"], "left_semi").select("label", "text").mapInArrow(_windows(WINDOWS), "label string, piece binary").toArrow()
+    drawn = written(drawn, "drawn")
+    small = drawn.count() <= BROADCAST_ROWS
+    pieces = texts.join(F.broadcast(drawn) if small else drawn, ["id", "label"], "left_semi").select("label", "text").mapInArrow(_windows(WINDOWS), "label string, piece binary").toArrow()
     if not pieces.num_rows:
         return None
     pairs = sorted(zip(pieces["label"].to_pylist(), pieces["piece"].to_pylist(), strict=True))
