@@ -1,6 +1,7 @@
 import random
 import re
 
+from textloom.llm import minhash
 from textloom.llm.minhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, id string, size long, bucket string"
@@ -70,3 +71,17 @@ def test_large_group_of_different_copies(spark):
         rows.append((k, " ".join(own)))
     df = spark.createDataFrame([(d, t, "x", 1, None) for d, t in rows], SCHEMA)
     assert {tuple(r) for r in near_duplicates(df, ngram=4).collect()} == brute(rows)
+
+
+def test_exact_finish_finds_links_to_one_original_only(spark, monkeypatch):
+    """Each copy is linked to the original alone, so that only comparing all of a bucket finds every link."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(5)
+    sets = {50: set(range(400))}
+    for k in range(50):
+        sets[k] = set(range(400)) - set(rng.sample(range(400), 40)) | set(range(1000 * (k + 1), 1000 * (k + 1) + 40))
+    links = {(max(a, b), min(a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links == {(50, k) for k in range(50)}
+    members = spark.createDataFrame([(bucket, k, k, 400) for k in sets for bucket in (7, 8)], "bucket long, id long, component long, size long")
+    items = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, items array<long>")
+    assert {tuple(r) for r in minhash._rest(members, items, 80).collect()} == links

@@ -11,8 +11,11 @@ only: a centre, drawn by hash anew for each bucket, against the others, so that
 document meets up to ``bands`` centres. Links are confirmed on the full sets. Buckets
 whose nodes have then not all met in one component go on. Those of up to ``SMALL``
 nodes compare every two that are not joined yet. Larger ones draw ``CENTRES`` new centres round after
-round, until a whole round confirms no further link: pairs stay in proportion to the
-rows, however large a group is. Before sets are fetched, two bits of each bin's
+round, until a whole round confirms no further link. What is then still apart is finished
+exactly: the nodes of open large buckets are clustered by the buckets they share, and
+every two blocks of a cluster meet in one task, which counts what their full sets have in common as a
+product of matrices. Pairs of these rounds stay in proportion to the rows; the finish does work
+with the square of a cluster, but gives links only. Before sets are fetched in the rounds, two bits of each bin's
 minimum must agree as often as those of sets at the threshold do, less five standard
 deviations (a further 3e-7 of pairs at the threshold itself).
 """
@@ -31,6 +34,8 @@ from textloom.llm.graph import components
 from textloom.llm.shared import bounded_batches, packed, written
 
 NGRAM, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 80, 40, 5, 16, 3
+#: Bounds of a block of the exact finish, in documents and shingles, and how many shingles are multiplied at once.
+BLOCK, BLOCK_ITEMS, WIDTH = 1024, 2_000_000, 4096
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -122,6 +127,52 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where((100 * F.col("same")) >= threshold * (F.col("n") - F.col("same"))).select("u", "v").distinct()
 
 
+def _across(threshold: int):
+    """Links between two blocks, or within one: a pair for each two components that have any."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component, block = (table[c].to_numpy() for c in ("id", "component", "block"))
+        items = table["items"].chunk(0)
+        size = items.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        _, code, times = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        often = times > 1
+        keep = often[code]
+        owner, code = owner[keep], (np.cumsum(often) - 1)[code[keep]]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        same = np.zeros((len(left), len(right)), np.int64)
+        for first in range(0, int(often.sum()), WIDTH):
+            a, b = np.searchsorted(code, [first, first + WIDTH])
+            held = np.zeros((len(size), WIDTH), np.float32)
+            held[owner[a:b], code[a:b] - first] = 1
+            same += (held[left] @ held[right].T).astype(np.int64)
+        alike = 100 * same >= threshold * (size[left][:, None] + size[right][None] - same)
+        i, j = np.nonzero(alike & (component[left][:, None] != component[right][None]))
+        i, j = left[i], right[j]
+        ends = np.sort(np.stack([component[i], component[j]], axis=1), axis=1)
+        one = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else np.zeros(0, np.int64)
+        x, y = ids[i[one]], ids[j[one]]
+        return pa.table({"u": np.maximum(x, y), "v": np.minimum(x, y)})
+
+    return run
+
+
+def _rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """All links (u, v) between components that share one of the buckets of ``members``, one for each two blocks and components."""
+    apart = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("id").alias("v")).where("least <> most").select("bucket", "v")
+    held = written(packed(members.join(packed(apart), "bucket").select("id", "component", "size", "v")), "open")
+    nodes = held.groupBy("id").agg(F.first("component").alias("component"), F.max("size").alias("size"))
+    nodes = written(packed(nodes.join(components(held.select(F.col("id").alias("u"), "v")).select("id", F.col("component").alias("cluster")), "id")), "clusters")
+    blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    dealt = nodes.join(blocks, "cluster").select("id", "component", "cluster", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    dealt = packed(packed(dealt).join(sets, "id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component", "block", "items")
+    return dealt.groupBy("cluster", "low", "high").applyInArrow(_across(threshold), "u long, v long").distinct()
+
+
 def _alike(a: str, b: str, threshold: int, bins: int) -> Column:
     """Whether sets ``a`` and ``b`` may reach the threshold, by their sizes and sketches."""
     x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -195,6 +246,11 @@ def near_duplicates(
         joined = written(components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)).transform(packed), "joined")
         members = members.where(F.col("n") > SMALL).drop("component")
 
+    rest = written(packed(_rest(members.where(F.col("n") > SMALL), sets, threshold)), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(rest)
+        joined = written(components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(rest)).transform(packed), "joined")
+
     copies = signed.where("size > 0").join(classes.drop("size"), ["k1", "k2"]).where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     repeated = signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if not repeated.isEmpty():  # an id with several texts joins the classes of all of them
