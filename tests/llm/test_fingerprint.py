@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from textloom.llm.fingerprint import anchors, edited, fingerprints, likeness
+from textloom.llm.fingerprint import anchors, edited, fingerprints, likeness, render
 
 SCHEMA = "doc_id long, text string, part string, closing long"
 
@@ -44,3 +44,17 @@ def test_anchors_are_context_free():
 
 def test_empty(spark):
     assert fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_keep_every_anchor():
+    rng = random.Random(6)
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    passage = noise(400)
+    a, b = noise(50_000) + passage + noise(50_000), noise(70_000) + passage + noise(9_000)
+    shared = set(anchors(passage)[0].tolist()) & set(anchors(a)[0].tolist())
+    assert len(shared) > 40 and shared <= set(anchors(b)[0].tolist())
+    x, y = (set(anchors(t)[0].tolist()) for t in (a, b))
+    assert len(x) > 15_000 and likeness(anchors(a), anchors(b)) == 2 * len(x & y) / (len(x) + len(y))
+    repeated = anchors(b"the same words again. " * 3000)
+    assert repeated[1][-1] > 65_900 and len(repeated[0]) > 4000
+    assert render(*anchors(a)) == " ".join(f"{h:08x}:{p:x}" for h, p in zip(*(v.tolist() for v in anchors(a)), strict=True))

@@ -3,9 +3,8 @@
 A ``k``-byte window is an anchor if its smallest ``s``-byte substring, by hash,
 starts at its first or last place. Whether it is depends on the window alone, so
 unchanged passages keep their anchors whatever stands around them. A fingerprint
-lists anchors in text order as ``hash:position`` in hexadecimal. Where a text has more than
-``most`` anchors, those with the smallest hashes stay: again a choice that each
-anchor makes by itself, so two fingerprints remain comparable (a bottom sketch).
+lists all anchors in text order as ``hash:position`` in hexadecimal, however long the text is,
+and likenesses are those of the full sets.
 """
 
 from __future__ import annotations
@@ -21,10 +20,13 @@ from pyspark.sql import functions as F
 from textloom.llm import textkernel as tk
 from textloom.llm.shared import bounded_batches, written
 
-K, S, MOST = 12, 4, 256
+K, S = 12, 4
+#: Result rows go on once their fingerprints have so many bytes.
+FLUSH_BYTES = 4 << 20
+_HEX = np.frombuffer(b"".join(b"%02x" % k for k in range(256)), np.uint8).reshape(256, 2)
 
 
-def anchors(text: bytes, k: int = K, s: int = S, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     """(32-bit hashes, byte positions) of the closed syncmers of a text, in text order.
 
     The text is led by ``k - 1`` marks, so that even a short one has windows.
@@ -50,32 +52,30 @@ def anchors(text: bytes, k: int = K, s: int = S, most: int = MOST) -> tuple[np.n
     if (width - 1) % s:
         hashes = (hashes ^ small[at + width - 1]) * np.uint64(0xD6E8FEB86659FD93)
     hashes = (hashes >> np.uint64(32)).astype(np.uint32)
-    if len(hashes) > most:
-        kept = np.sort(np.unique(hashes)[:most])
-        where = np.minimum(np.searchsorted(kept, hashes), len(kept) - 1)
-        keep = kept[where] == hashes
-        hashes, first = hashes[keep], first[keep]
-        if len(hashes) > 4 * most:  # few distinct anchors, repeated: the first places of each
-            order = np.argsort(hashes, kind="stable")
-            run = np.arange(len(order)) - np.searchsorted(hashes[order], hashes[order])
-            keep = np.sort(order[run < 4])
-            hashes, first = hashes[keep], first[keep]
     return hashes, first
 
 
+def _digits(values: np.ndarray) -> np.ndarray:
+    """Eight hexadecimal digits of each 32-bit number, as bytes."""
+    return _HEX[values.astype(">u4").view(np.uint8)].reshape(len(values), 8)
+
+
 def render(hashes: np.ndarray, places: np.ndarray) -> str:
-    return " ".join(f"{h:08x}:{p:x}" for h, p in zip(hashes.tolist(), places.tolist(), strict=True))
+    if not len(hashes):
+        return ""
+    out = np.empty((len(hashes), 18), np.uint8)
+    out[:, :8], out[:, 8], out[:, 9:17], out[:, 17] = _digits(hashes), 58, _digits(places), 32
+    keep = np.ones(out.shape, bool)
+    keep[:, 9:16] = np.logical_or.accumulate(out[:, 9:16] != 48, axis=1)
+    return out[keep][:-1].tobytes().decode("ascii")
 
 
-def likeness(a: tuple, b: tuple, most: int = MOST) -> float:
-    """Share of anchors in common (Dice), estimated from the smallest of both sets; 1 for two empty ones."""
+def likeness(a: tuple, b: tuple) -> float:
+    """Share of anchors in common (Dice); 1 for two empty sets."""
     x, y = np.unique(a[0]), np.unique(b[0])
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    limit = min(x[-1] if len(x) >= most else 1 << 32, y[-1] if len(y) >= most else 1 << 32)
-    x, y = x[x <= limit], y[y <= limit]
-    same = len(np.intersect1d(x, y, assume_unique=True))
-    return 2 * same / max(1, len(x) + len(y))
+    return 2 * len(np.intersect1d(x, y, assume_unique=True)) / (len(x) + len(y))
 
 
 def edited(text: str, n: int, following: str) -> str:
@@ -84,7 +84,7 @@ def edited(text: str, n: int, following: str) -> str:
     return text[: n - half] + following[:half]
 
 
-def _scan(k: int, s: int, most: int):
+def _scan(k: int, s: int):
     """Fingerprints of rows sorted by (part, order); a row's successor is the next row of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,19 +94,20 @@ def _scan(k: int, s: int, most: int):
             doc, text, own = row[1], row[2], row[4]
             changed = edited(text, len(text), after[2])
             raw = changed.encode()
-            other = own if changed == text else anchors(raw, k, s, most)
-            return doc, len(text), hashlib.sha256(raw).hexdigest(), render(*own), render(*other), likeness(own, other, most), likeness(own, after[4], most)
+            other = own if changed == text else anchors(raw, k, s)
+            return doc, len(text), hashlib.sha256(raw).hexdigest(), render(*own), render(*other), likeness(own, other), likeness(own, after[4])
 
         for batch in batches:
-            done = []
+            done, size = [], 0
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t or "" for t in batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
-                now = (*row, anchors(row[2].encode(), k, s, most))
+                now = (*row, anchors(row[2].encode(), k, s))
                 if held is not None and held[0] == now[0] and not held[3]:
                     done.append(result(held, now))
+                    size += len(done[-1][3]) + len(done[-1][4])
                 held = now
-                if len(done) >= 500:
+                if len(done) >= 500 or size >= FLUSH_BYTES:
                     yield _rows(done)
-                    done = []
+                    done, size = [], 0
             if done:
                 yield _rows(done)
 
@@ -121,7 +122,7 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, most: int = MOST, part_rows: int = 2000) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, part_rows: int = 2000) -> DataFrame:
     """Fingerprints of every text and of its edited text, one row for each row of ``docs``.
 
     The next document is that of the next smaller id (null last; rows of one id by
@@ -157,4 +158,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     closing = closing.groupBy("previous").agg(F.min_by("text", "text").alias("text"), F.first("id").alias("id")).select(F.col("previous").alias("part"), "id", "text", F.lit(True).alias("closing"))
     placed = rows.withColumn("part", part_of("id")).select("part", "id", "text", F.lit(False).alias("closing")).unionByName(closing)
     dealt = placed.repartition(max(spark.sparkContext.defaultParallelism, len(present)), "part").sortWithinPartitions(F.col("part"), F.col("closing"), F.col("id").desc_nulls_last(), F.col("text"))
-    return dealt.select("part", "id", "text", "closing").mapInArrow(_scan(k, s, most), SCHEMA)
+    return dealt.select("part", "id", "text", "closing").mapInArrow(_scan(k, s), SCHEMA)
