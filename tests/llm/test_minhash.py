@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from textloom.llm import minhash
 from textloom.llm.minhash import near_duplicates
 
@@ -73,15 +75,43 @@ def test_large_group_of_different_copies(spark):
     assert {tuple(r) for r in near_duplicates(df, ngram=4).collect()} == brute(rows)
 
 
-def test_exact_finish_finds_links_to_one_original_only(spark, monkeypatch):
-    """Each copy is linked to the original alone, so that only comparing all of a bucket finds every link."""
-    monkeypatch.setattr(minhash, "BLOCK", 16)
+def brute_links(sets, threshold=80):
+    return {(max(a, b), min(a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_exact_finish_finds_every_link(spark, monkeypatch, block):
+    """Copies of one original at all distances, some linked to it alone, in sizes around the threshold."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(5)
-    sets = {50: set(range(400))}
-    for k in range(50):
-        sets[k] = set(range(400)) - set(rng.sample(range(400), 40)) | set(range(1000 * (k + 1), 1000 * (k + 1) + 40))
-    links = {(max(a, b), min(a, b)) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert links == {(50, k) for k in range(50)}
-    members = spark.createDataFrame([(bucket, k, k, 400) for k in sets for bucket in (7, 8)], "bucket long, id long, component long, size long")
-    items = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, items array<long>")
+    sets = {200: set(range(400))}
+    for k in range(200):
+        lost, more = rng.choice([(40, 40), (0, 90), (0, 110), (70, 0), (90, 0), (20, 20), (60, 0), (24, 20)])
+        sets[k] = set(range(400)) - set(rng.sample(range(400), lost)) | set(range(1000 * (k + 1), 1000 * (k + 1) + more))
+    sets |= {k: set(range(5000, 5000 + k % 7 + 1)) for k in range(201, 230)}
+    links = brute_links(sets)
+    assert 200 < len(links) < 10_000
+    code = lambda x: (x * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63)
+    members = spark.createDataFrame([(bucket, k, k) for k in sets for bucket in (7, 8)], "bucket long, id long, component long")
+    items = spark.createDataFrame([(k, sorted(map(code, v))) for k, v in sets.items()], "id long, items array<long>")
     assert {tuple(r) for r in minhash._rest(members, items, 80).collect()} == links
+
+
+@pytest.mark.parametrize(("edits", "n"), [(7, 500), (11, 2500)])
+def test_rare_pair_among_many_variants(spark, edits, n):
+    """Two documents of three edits among many of more, all in the same buckets: their link is the only one."""
+    rng = random.Random(edits)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(300), 3 if k < 2 else edits):
+            own[at] = f"e{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    got = {r[0]: r[2] for r in near_duplicates(spark.createDataFrame([(d, t, "x", 1, None) for d, t in rows], SCHEMA), ngram=4).collect()}
+    grams = {k: {" ".join(w[j : j + 4]) for j in range(297)} for k, w in ((k, t.split()) for k, t in rows)}
+    few = {k: grams[k] for k in (0, 1, *range(2, n, 40))}
+    assert (1, 0) in brute_links(few) and got[1] == got[0] == 0
+    want = {(0, 0), (1, 0)} if edits == 11 else {(k, got[k]) for k in few}
+    assert {(k, got[k]) for k in few if got[k] != k or k == 0} <= want
+    assert all(got[a] == got[b] for a, b in brute_links(few))

@@ -8,16 +8,17 @@ bands a pair at similarity 0.8 shares no bucket with probability 1.2e-7.
 
 Copies with equal sets are one node from the start. A bucket emits star edges
 only: a centre, drawn by hash anew for each bucket, against the others, so that a
-document meets up to ``bands`` centres. Links are confirmed on the full sets. Buckets
-whose nodes have then not all met in one component go on. Those of up to ``SMALL``
-nodes compare every two that are not joined yet. Larger ones draw ``CENTRES`` new centres round after
-round, until a whole round confirms no further link. What is then still apart is finished
-exactly: the nodes of open large buckets are clustered by the buckets they share, and
-every two blocks of a cluster meet in one task, which counts what their full sets have in common as a
-product of matrices. Pairs of these rounds stay in proportion to the rows; the finish does work
-with the square of a cluster, but gives links only. Before sets are fetched in the rounds, two bits of each bin's
-minimum must agree as often as those of sets at the threshold do, less five standard
-deviations (a further 3e-7 of pairs at the threshold itself).
+document meets up to ``bands`` centres. Links are confirmed on the full sets. Rounds of
+new centres follow while more of the compared pairs are links than are not, over buckets
+whose nodes have not all met in one component.
+
+What is then still apart is finished exactly. The nodes of open buckets are joined by their
+rarest shingles (prefixes): two sets at the threshold must share a shingle that leaves enough
+behind it in both, in the order from rare to common. The parities of the shingles that fall into each of ``ODD``
+classes differ in no more classes than the sets differ in shingles, which rules out most of what is left.
+Neither test loses a link, so every link between two nodes of an open bucket is found or already within a component. Before sets are
+fetched in the star rounds, two bits of each bin's minimum must agree as often as those of sets
+at the threshold do, less five standard deviations; what that refuses the finish looks at again.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ from textloom.llm import textkernel as tk
 from textloom.llm.graph import components
 from textloom.llm.shared import bounded_batches, packed, written
 
-NGRAM, THRESHOLD, BANDS, ROWS, SMALL, CENTRES = 5, 80, 40, 5, 16, 3
-#: Bounds of a block of the exact finish, in documents and shingles, and how many shingles are multiplied at once.
-BLOCK, BLOCK_ITEMS, WIDTH = 1024, 2_000_000, 4096
+NGRAM, THRESHOLD, BANDS, ROWS = 5, 80, 40, 5
+#: Entries listed under one shingle that a task of the exact finish holds.
+BLOCK = 4096
+#: Classes of shingles whose parities an entry of the exact finish carries.
+ODD = 2048
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -127,50 +130,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where((100 * F.col("same")) >= threshold * (F.col("n") - F.col("same"))).select("u", "v").distinct()
 
 
-def _across(threshold: int):
-    """Links between two blocks, or within one: a pair for each two components that have any."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, component, block = (table[c].to_numpy() for c in ("id", "component", "block"))
-        items = table["items"].chunk(0)
-        size = items.value_lengths().to_numpy().astype(np.int64)
-        owner = np.repeat(np.arange(len(size)), size)
-        _, code, times = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        often = times > 1
-        keep = often[code]
-        owner, code = owner[keep], (np.cumsum(often) - 1)[code[keep]]
-        order = np.argsort(code, kind="stable")
-        owner, code = owner[order], code[order]
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        same = np.zeros((len(left), len(right)), np.int64)
-        for first in range(0, int(often.sum()), WIDTH):
-            a, b = np.searchsorted(code, [first, first + WIDTH])
-            held = np.zeros((len(size), WIDTH), np.float32)
-            held[owner[a:b], code[a:b] - first] = 1
-            same += (held[left] @ held[right].T).astype(np.int64)
-        alike = 100 * same >= threshold * (size[left][:, None] + size[right][None] - same)
-        i, j = np.nonzero(alike & (component[left][:, None] != component[right][None]))
-        i, j = left[i], right[j]
-        ends = np.sort(np.stack([component[i], component[j]], axis=1), axis=1)
-        one = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else np.zeros(0, np.int64)
-        x, y = ids[i[one]], ids[j[one]]
-        return pa.table({"u": np.maximum(x, y), "v": np.minimum(x, y)})
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Appends the parity of the number of shingles in each class, as words of 64 classes; the shingles are the last column."""
+    for batch in batches:
+        items = batch.column(batch.num_columns - 1)
+        owner = np.repeat(np.arange(len(items)), items.value_lengths().to_numpy(zero_copy_only=False))
+        seen = items.flatten().to_numpy().view(np.uint64) >> np.uint64(64 - ODD.bit_length() + 1)
+        odd = np.bincount(owner * ODD + seen.astype(np.int64), minlength=len(items) * ODD).reshape(len(items), ODD) & 1
+        words = np.packbits(odd.astype(bool), axis=1).view(np.int64)
+        ends = pa.array(np.arange(len(items) + 1, dtype=np.int32) * (ODD // 64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(words.ravel()))], [*batch.schema.names, "odd"])
 
-    return run
+
+def _least_common(threshold: int, sizes: Column | str) -> Column:
+    """The fewest common shingles of two sets of ``sizes`` shingles together that reach the threshold."""
+    return F.ceil(threshold * (F.col(sizes) if isinstance(sizes, str) else sizes) / (100 + threshold))
+
+
+def _prefixes(held: DataFrame, threshold: int) -> DataFrame:
+    """(item, entry, id, component, size, odd, left) of the shingles by which an entry can first meet another.
+
+    Shingles are ordered from rare to common over ``held`` and ``left`` counts those from a
+    shingle on. Two sets at the threshold have their first common shingle where enough are
+    left in both. Shingles of one entry alone take their places in the order, but never meet.
+    """
+    each = held.select("entry", F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    order = packed(each.join(often, "item")).groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("order"))
+    size = F.size("items").cast("long")
+    own = held.select("entry", "id", "component", "odd", size.alias("size"), (size - F.ceil(threshold * size / 100) + 1).alias("prefix"))
+    near = packed(own.join(order, "entry")).withColumn("alone", F.col("size") - F.size("order"))
+    places = near.select("entry", "id", "component", "odd", "size", "alone", F.posexplode(F.slice("order", F.lit(1), F.greatest(F.col("prefix") - F.col("alone"), F.lit(0)).cast("int"))).alias("at", "shingle"))
+    return places.select(F.col("shingle.item").alias("item"), "entry", "id", "component", "size", "odd", (F.col("size") - F.col("alone") - F.col("at")).alias("left"))
 
 
 def _rest(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """All links (u, v) between components that share one of the buckets of ``members``, one for each two blocks and components."""
-    apart = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("id").alias("v")).where("least <> most").select("bucket", "v")
-    held = written(packed(members.join(packed(apart), "bucket").select("id", "component", "size", "v")), "open")
-    nodes = held.groupBy("id").agg(F.first("component").alias("component"), F.max("size").alias("size"))
-    nodes = written(packed(nodes.join(components(held.select(F.col("id").alias("u"), "v")).select("id", F.col("component").alias("cluster")), "id")), "clusters")
-    blocks = nodes.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    dealt = nodes.join(blocks, "cluster").select("id", "component", "cluster", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
-    dealt = packed(packed(dealt).join(sets, "id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "component", "block", "items")
-    return dealt.groupBy("cluster", "low", "high").applyInArrow(_across(threshold), "u long, v long").distinct()
+    """All links (u, v) between components among the nodes of ``members``.
+
+    Sets that reach the threshold are found by their rarest shingles: the smaller one is listed under those
+    that leave enough even for a partner of its own size, the larger one looks them up, and both must leave
+    enough for their sizes. No two documents are compared that these counts rule out, and none
+    that qualify are missed. A shingle of many entries is dealt in blocks.
+    """
+    nodes = packed(members.groupBy("id").agg(F.first("component").alias("component")))
+    held = packed(nodes.join(sets, "id")).select("id", "component", F.monotonically_increasing_id().alias("entry"), "items")
+    held = written(held.mapInArrow(_parities, "id long, component long, entry long, items array<long>, odd array<long>"), "open")
+    prefixes = written(packed(_prefixes(held, threshold)), "prefixes")
+    listed = prefixes.where(F.col("left") >= _least_common(threshold, 2 * F.col("size")))
+    blocks = listed.groupBy("item").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asking = packed(prefixes.join(blocks, "item")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    listed = packed(listed.join(blocks, "item")).withColumn("block", F.pmod(F.xxhash64("entry"), "blocks").cast("int"))
+    a, b = F.struct("a.size", "a.entry"), F.struct("b.size", "b.entry")
+    both = F.col("a.size") + F.col("b.size")
+    apart = F.aggregate(F.zip_with("a.odd", "b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    enough = (F.least("a.left", "b.left") >= _least_common(threshold, both)) & (apart <= both - 2 * _least_common(threshold, both))
+    met = asking.alias("a").join(listed.alias("b"), (F.col("a.item") == F.col("b.item")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (a > b) & enough)
+    pairs = written(packed(packed(met).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()), "last")
+    return _confirmed(pairs, sets, threshold)
 
 
 def _alike(a: str, b: str, threshold: int, bins: int) -> Column:
@@ -212,41 +228,29 @@ def near_duplicates(
     members = written(grouped.join(nodes.select("id", "size", "sketch"), "id"), "members")
     near = _alike("a", "b", threshold, bands * rows)
 
-    def stars(labelled: DataFrame, turn: int, count: int) -> DataFrame:
-        """Pairs of each bucket's ``count`` centres of this turn and what is not joined to them."""
-        node = F.struct("id", "size", "sketch", "component")
-        drawn = [F.min_by(node, F.xxhash64("id", "bucket", F.lit(turn), F.lit(k))) for k in range(count)]
-        centres = labelled.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("c"))
-        centres = packed(centres).select("bucket", F.explode("c").alias("c")).select("bucket", "c.*")
+    def stars(labelled: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each bucket's centre of this turn and what is not joined to it."""
+        centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("id", "size", "sketch", "component"), F.xxhash64("id", "bucket", F.lit(turn))).alias("c"))
+        centres = packed(centres).select("bucket", "c.*")
         met = labelled.alias("a").join(centres.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & near)
-        return packed(met).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v"))
+        return packed(met).select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
 
-    pairs = written(packed(stars(members.withColumn("component", F.col("id")), 0, 1).distinct()), "pairs")
     involved = members.select("id").distinct()
     sets = written(text.where("id is not null").join(involved, "id", "left_semi").mapInArrow(_sets(ngram), "id long, items array<long>"), "sets")
-    links = written(packed(_confirmed(pairs, sets, threshold)), "links")
-    joined, turn = components(links), 0
+    members, turn, pairs, links = members.withColumn("component", F.col("id")), 0, None, None
     while True:
-        turn += 1
-        labelled = written(packed(members.join(joined, "id", "left")).withColumn("component", F.coalesce("component", "id")), "labelled")
-        if turn == 1:
-            mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most and n > 2").select("bucket", "n")
-            labelled = written(packed(labelled.join(packed(mixed), "bucket")), "mixed")
-        members = labelled
-        met = stars(members.where(F.col("n") > SMALL), turn, CENTRES)
-        if turn == 1:
-            few = members.where(F.col("n") <= SMALL)
-            both = few.alias("a").join(few.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & near)
-            met = met.unionByName(both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")))
-        fresh = written(packed(packed(met.distinct()).join(pairs, ["u", "v"], "left_anti")), "pairs")
-        found = written(packed(_confirmed(fresh, sets, threshold)), "found")
-        if found.isEmpty():
+        fresh = stars(members, turn)
+        fresh = written(packed(fresh if pairs is None else packed(fresh).join(pairs, ["u", "v"], "left_anti")), "pairs")
+        found = written(packed(_confirmed(fresh, sets, threshold)), "links")
+        pairs, links = (fresh, found) if pairs is None else (pairs.unionByName(fresh), links.unionByName(found))
+        joined = written(components(links if not turn else joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)).transform(packed), "joined")
+        labelled = written(packed(members.drop("component").join(joined, "id", "left")).withColumn("component", F.coalesce("component", "id")), "labelled")
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most and n > 2").select("bucket")
+        members, turn = written(packed(labelled.join(packed(mixed), "bucket", "left_semi")), "open"), turn + 1
+        if 2 * found.count() <= fresh.count():
             break
-        pairs, links = pairs.unionByName(fresh), links.unionByName(found)
-        joined = written(components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)).transform(packed), "joined")
-        members = members.where(F.col("n") > SMALL).drop("component")
 
-    rest = written(packed(_rest(members.where(F.col("n") > SMALL), sets, threshold)), "rest")
+    rest = written(packed(_rest(members, sets, threshold)), "rest")
     if not rest.isEmpty():
         links = links.unionByName(rest)
         joined = written(components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(rest)).transform(packed), "joined")
