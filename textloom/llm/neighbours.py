@@ -1,18 +1,18 @@
 """Nearest neighbours by inner product: low-dimensional stable projections and kd-trees.
 
 Vectors get one more component so that all have the same length; then a larger inner
-product is a smaller distance. Gaussian (2-stable) projections to ``M`` dimensions turn a distance
-d into d times a chi variable. Points are visited in the order of their projected
-distance r and verified, until the chi-square test holds: a point not yet seen that
-is nearer than the k-th best distance found would be as far out as r with probability
-``1 - TAU`` at most.
+product is a smaller distance. Gaussian (2-stable) projections to half the dimensions, ``M`` at
+most, turn a distance d into d times a chi variable. The points of a cell are visited in the order of their projected
+distance r, in steps, and verified on the original vectors, until the chi-square test holds: a
+point that is nearer than the k-th best distance found would be as far out as r with
+probability ``1 - TAU`` at most. Points beyond that are never verified.
 
 A kd-tree over the projections of at most ``SAMPLE`` rows cuts the space into cells; every
 row is indexed in its cell. A query first searches its own cell, which bounds its
-k-th distance, then those other cells that the stopping test does not rule out. Inside a cell
-a smaller kd-tree gives the order. Equal vectors are one point with a list of the
+k-th distance, then those other cells that the stopping test does not rule out. Equal vectors are one point with a list of the
 smallest ``k + 1`` ids, enough for any answer. Queries that visit a cell are dealt in
-blocks, so neither a popular cell nor a repeated vector makes a task unbounded.
+blocks and so are the points of a large cell, so neither a popular cell nor a repeated vector makes a task unbounded,
+however many rows there are.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import bounded_batches, written
 
-M, TAU, SAMPLE, CELL, LEAF, QUERIES = 8, 0.98, 20_000, 4096, 64, 1024
+M, TAU, SAMPLE, CELL, STEP, QUERIES = 32, 0.9, 20_000, 4096, 64, 512
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -102,48 +102,46 @@ class Space:
         return np.maximum(2 * self.longest**2 - 2 * self.longest * score / norms, 0)
 
 
-def search(space: Space, queries: np.ndarray, bound: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, places) [queries, k] of the best points, by score, then id; places are -1 where there are fewer.
+def search(space: Space, queries: np.ndarray, bound: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, places) [queries, k] of the best points verified, by score, then id, and how many each query verified.
 
-    ``bound`` has a score for each query that the k-th best already reaches.
+    ``bound`` has a score for each query that the k-th best already reaches; places are -1 where there are fewer.
     """
     n = len(points)
     order = np.argsort(ids, kind="stable")
-    points, projected = points[order], space.project(points[order])
-    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-    tree = kd_tree(projected, depth)
-    leaf = tree.of(projected)
-    by_leaf = np.argsort(leaf, kind="stable")
-    bounds = np.searchsorted(leaf[by_leaf], np.arange((1 << depth) + 1))
-    sizes = np.diff(bounds)
+    points, own = points[order], space.project(points[order])
+    ask = space.project_queries(queries)
+    far = (ask * ask).sum(1)[:, None] + (own * own).sum(1)[None] - 2 * ask @ own.T
     norms = np.sqrt((queries * queries).sum(1))
     best, where = np.full((len(queries), k), -np.inf), np.full((len(queries), k), n)
-    for lo in range(0, len(queries), 256):
-        own = np.arange(lo, min(lo + 256, len(queries)))
-        far = tree.distances(space.project_queries(queries[own]))
-        turn = np.argsort(far, axis=1, kind="stable")
-        active = np.arange(len(own))
-        for t in range(turn.shape[1]):
-            now = turn[active, t]
-            kth = np.maximum(best[own[active], -1], bound[own[active]])
-            edge = np.where(np.isfinite(kth), limit * space.squared(kth, norms[own[active]]), np.inf)
-            go = far[active, now] <= edge
-            active, now = active[go], now[go]
-            if not len(active):
-                break
-            width = int(sizes[now].max(initial=0))
-            if not width:
-                continue
-            slot = np.arange(width)[None, :]
-            held = slot < sizes[now][:, None]
-            at = by_leaf[np.minimum(bounds[now][:, None] + slot, n - 1)]
-            score = np.where(held, np.einsum("qd,qld->ql", queries[own[active]], points[at]), -np.inf)
-            scores = np.concatenate([best[own[active]], score], 1)
-            places = np.concatenate([where[own[active]], np.where(held, at, n)], 1)
-            top = np.lexsort((places, -scores), axis=1)[:, :k]
-            best[own[active]] = np.take_along_axis(scores, top, 1)
-            where[own[active]] = np.take_along_axis(places, top, 1)
-    return best, np.where(np.isfinite(best), order[np.minimum(where, n - 1)], -1)
+    seen, active, size = np.zeros(far.shape, bool), np.arange(len(queries)), STEP
+
+    def edge(who: np.ndarray) -> np.ndarray:
+        """How far out a query's points may project."""
+        kth = np.maximum(best[who, -1], bound[who])
+        return np.where(np.isfinite(kth), limit * space.squared(kth, norms[who]), np.inf)[:, None]
+
+    while len(active):
+        size = min(n, size)
+        near = np.argpartition(far[active], size - 1, axis=1)[:, :size]
+        r = np.take_along_axis(far[active], near, 1)
+        row, slot = np.nonzero((r <= edge(active)) & ~seen[active[:, None], near])
+        at = near[row, slot]
+        seen[active[row], at] = True
+        score = np.empty(len(row))
+        for lo in range(0, len(row), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            score[part] = np.einsum("pd,pd->p", queries[active[row[part]]], points[at[part]])
+        owner = np.concatenate([np.repeat(np.arange(len(active)), k), row])
+        scores, places = np.concatenate([best[active].ravel(), score]), np.concatenate([where[active].ravel(), at])
+        turn = np.lexsort((places, -scores, owner))
+        top = turn[np.arange(len(turn)) - np.searchsorted(owner[turn], owner[turn]) < k]
+        best[active], where[active] = scores[top].reshape(-1, k), places[top].reshape(-1, k)
+        if size == n:
+            break
+        active = active[r.max(1) <= edge(active)[:, 0]]
+        size *= 4
+    return best, np.where(np.isfinite(best), order[np.minimum(where, n - 1)], -1), seen.sum(1)
 
 
 def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -153,19 +151,21 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dims)
 
 
-FOUND = "query_id long, query_key long, candidate_ids array<long>, score double"
+FOUND = "query_id long, query_key long, candidate_ids array<long>, score double, verified long"
 
 
 def _visit(space: Space, k: int, limit: float):
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
-        kinds = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("candidate_ids", pa.list_(pa.int64())), ("score", pa.float64())])
+        kinds = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("candidate_ids", pa.list_(pa.int64())), ("score", pa.float64()), ("verified", pa.int64())])
         if not queries.num_rows or not points.num_rows:
             return kinds.empty_table()
         q, x = _matrix(queries["vector"], space.dims), _matrix(points["vector"], space.dims)
         bound = queries["bound"].combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
-        scores, places = search(space, q, bound, x, points["least"].to_numpy(), k + 1, limit)
+        scores, places, verified = search(space, q, bound, x, points["least"].to_numpy(), k + 1, limit)
         row, slot = np.nonzero(places >= 0)
-        return pa.table([queries["query_id"].take(pa.array(row)), queries["query_key"].take(pa.array(row)), points["ids"].take(pa.array(places[row, slot])), pa.array(scores[row, slot])], kinds)
+        found = pa.table([queries["query_id"].take(pa.array(row)), queries["query_key"].take(pa.array(row)), points["ids"].take(pa.array(places[row, slot])), pa.array(scores[row, slot]), pa.nulls(len(row), pa.int64())], kinds)
+        work = pa.table([queries["query_id"], queries["query_key"], pa.nulls(len(q), pa.list_(pa.int64())), pa.nulls(len(q), pa.float64()), pa.array(verified)], kinds)
+        return pa.concat_tables([found, work])
 
     return run
 
@@ -176,12 +176,12 @@ def _finite(vector: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tau: float = TAU, sample: int = SAMPLE, cell: int = CELL, queries_per_task: int = QUERIES, seed: int = 11) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each query.
+    """(query_id, rank, vec_id, score, verified): the ``k`` rows of largest inner product found for each query.
 
-    Queries are the rows where ``is_query`` holds, candidates all rows but those of the
+    ``verified`` is the number of points whose vectors the query was compared with in all. Queries are the rows where ``is_query`` holds, candidates all rows but those of the
     query's own id; with fewer than ``k`` all of them come. Ranks start at 1; ties go to the
     smaller id. Rows without id or vector, vectors that are zero, hold nulls or
-    non-finite numbers, or have another length than most, take no part. Rows equal in
+    non-finite numbers, or have another length than most (the shortest of equally many), take no part: they have no inner product with the others. Rows equal in
     id and vector count once. No rows give none.
     """
     spark = vectors.sparkSession
@@ -191,10 +191,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     shapes = rows.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "dims").first()
     if shapes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     dims, rng = shapes["dims"], np.random.default_rng(seed)
-    space = Space(dims, float(shapes["longest"]) or 1.0, rng.standard_normal((dims + 1, M)))
-    limit = chi_square_quantile(tau, M)
+    low = max(2, min(M, dims // 4 * 2))
+    space = Space(dims, float(shapes["longest"]) or 1.0, rng.standard_normal((dims + 1, low)))
+    limit = chi_square_quantile(tau, low)
     rows = rows.where(F.size("vector") == dims)
     drawn = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"], dims)
     depth = max(0, min(int(np.ceil(np.log2(max(1, shapes["n"] / cell)))), int(np.log2(max(1, len(drawn) / 16)))))
@@ -220,24 +221,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     points = written(points.withColumn("cell", cell_of("vector")), "points")
     asking = rows.where("asks").select(F.col("id").alias("query_id"), F.xxhash64("vector").alias("query_key"), "vector")
     asking = written(asking.withColumn("home", cell_of("vector")), "queries")
+    parts = written(points.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("parts")), "parts")
     salt = F.pmod(F.xxhash64("query_id", "query_key"), F.col("blocks")).cast("int").alias("block")
 
     def visited(visits: DataFrame) -> DataFrame:
-        """Top points of each (query, cell) visit; the visits of a cell are dealt in blocks, each with the cell's points."""
-        counts = visits.groupBy("cell").agg(F.ceil(F.count("*") / queries_per_task).alias("blocks"))
-        dealt = visits.join(counts, "cell").select("cell", salt, "query_id", "query_key", "vector", "bound")
-        spread = points.join(counts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "vector", "ids", "least")
-        return dealt.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInArrow(_visit(space, k, limit), FOUND)
+        """Top points of each (query, cell) visit, dealt in blocks of the cell's points and of the queries that visit it."""
+        counts = visits.groupBy("cell").agg(F.ceil(F.count("*") / queries_per_task).cast("int").alias("blocks")).join(parts, "cell")
+        dealt = visits.join(counts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt, "query_id", "query_key", "vector", "bound")
+        spread = points.join(counts, "cell").withColumn("part", F.pmod(F.xxhash64("least"), "parts").cast("int"))
+        spread = spread.select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vector", "ids", "least")
+        return dealt.groupBy("cell", "part", "block").cogroup(spread.groupBy("cell", "part", "block")).applyInArrow(_visit(space, k, limit), FOUND)
 
     def expanded(found: DataFrame) -> DataFrame:
-        own = found.select("query_id", "query_key", "score", F.explode("candidate_ids").alias("vec_id")).where("vec_id <> query_id")
-        return own.groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"))
+        """(query, candidate, score) once each, and a row without candidate for the points verified."""
+        own = found.select("query_id", "query_key", "score", "verified", F.explode_outer("candidate_ids").alias("vec_id")).where("vec_id is null or vec_id <> query_id")
+        return own.groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"), F.sum("verified").alias("verified"))
 
-    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_key").orderBy(F.desc_nulls_last("score"), "vec_id")
     first = written(visited(asking.select(F.col("home").alias("cell"), "query_id", "query_key", "vector", F.lit(None).cast("double").alias("bound"))), "first")
-    kth = expanded(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", "query_key", F.col("score").alias("bound"))
+    kth = expanded(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).where("vec_id is not null").select("query_id", "query_key", F.col("score").alias("bound"))
     bounded = asking.join(kth, ["query_id", "query_key"], "left").withColumn("cells", more_cells("vector", "bound"))
     onward = bounded.select(F.explode("cells").alias("cell"), "home", "query_id", "query_key", "vector", "bound").where("cell <> home").drop("home")
     second = visited(written(onward, "visits"))
-    answer = expanded(first.unionByName(second)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return answer.select("query_id", "rank", "vec_id", "score")
+    answer = expanded(first.unionByName(second)).withColumn("rank", F.row_number().over(best)).withColumn("verified", F.sum("verified").over(Window.partitionBy("query_id", "query_key")))
+    return answer.where((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "verified")
