@@ -1,20 +1,25 @@
-"""An interpolated modified Kneser-Ney bigram model of words.
+"""An interpolated modified Kneser-Ney model of words, of any order from two on.
 
-Counting runs in Spark. Vocabulary and bigram counts become sorted arrays cut into
+Counting runs in Spark. Vocabulary and n-gram counts become sorted arrays cut into
 shard files in the shared folder, written by the workers, and memory-mapped by the
-workers that score. A word's id is its place in the sorted array of word hashes; a bigram's
-key is the pair of ids, so bigrams never collide. What is shuffled are sorted,
-delta-coded and compressed blocks, one for each shard of each batch of texts, whatever the
-frequency of a word: shards are dealt by a hash of the whole key.
-
-``p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) p'(w)``, where ``p'`` does the same with the
-number of different words before ``w`` and ends in the uniform ``1 / (V + 1)``. The
-three discounts of each level come from its counts of counts. Every text ends with an end
-token and starts after a start mark.
+workers that score. A word's id is its place in the sorted array of word hashes; n-grams are
+counted as tuples of ids, so they never collide while counting. What is shuffled are sorted,
+delta-coded and compressed blocks, one for each shard of each batch of texts: pairs are dealt by
+a hash of the whole key, longer n-grams by their context, which has a row for each different
+follower of a block at most, whatever its frequency.
+
+Stored n-grams are found by a 64-bit hash, of which a shard's directory and 32 more bits are
+kept: an n-gram that was never seen is taken for a seen one about once in 2^28 lookups.
+
+``p(w|h) = max(a(hw) - D, 0) / a(h) + g(h) p(w|h')``, ``h'`` being ``h`` without its first word. ``a`` counts
+occurrences at the highest order and different words before the n-gram below it; the lowest
+order ends in the uniform ``1 / (V + 1)``. The three discounts of each level come from its counts
+of counts. Every text ends with an end token and starts after start marks.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from textloom.llm import textkernel as tk
 from textloom.llm.shared import bounded_batches, new_path, written
 
+ORDER = 3
 BLOCK_BYTES = 4 << 20
 SHARD_KEYS = 2_000_000
 GATHER = 3_000_000
@@ -37,38 +43,96 @@ END = np.uint64(0x656E64206F66206C)
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder as Spark names it."""
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3" + uri[3:]
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
 def save(uri: str, name: str, values: np.ndarray) -> None:
-    """Write an array as a file of the shared folder; a task that runs twice just replaces it by the same."""
+    """Write an array as a file of the shared folder; a task that runs twice leaves the same there."""
     store, root = _store(uri)
     store.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.{uuid.uuid4().hex}"
+    part, path = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
     with store.open_output_stream(part) as out:
         out.write(np.ascontiguousarray(values))
-    store.move(part, f"{root}/{name}")
+    try:
+        store.move(part, path)
+    except OSError:  # a store whose rename does not replace
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(part)
 
 
 _mapped: dict[tuple[str, str], np.ndarray] = {}
+_fetched: list[str] = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Drop all maps and the files that were fetched for them."""
+    _mapped.clear()
+    while _fetched:
+        os.unlink(_fetched.pop())
 
 
 def mapped(uri: str, name: str, kind: type) -> np.ndarray:
-    """The array, memory-mapped. From a store that is no mounted folder the file is fetched first."""
+    """The array, memory-mapped; empty where there is no such file. From a store that is no mounted folder the file is fetched first."""
     found = _mapped.get((uri, name))
     if found is None:
         if len(_mapped) > 4096:
-            _mapped.clear()
+            _forget()
         store, root = _store(uri)
         path = f"{root}/{name}"
-        if not isinstance(store, fs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
-            fs.copy_files(path, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-            path = local
-        found = _mapped[uri, name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        if store.get_file_info(path).type != fs.FileType.File:
+            found = np.zeros(0, kind)
+        else:
+            if not isinstance(store, fs.LocalFileSystem):
+                local = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
+                _fetched.append(local)
+                fs.copy_files(path, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+                path = local
+            found = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        _mapped[uri, name] = found
     return found
 
 
+def save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Write hashes with columns of counts: a directory by top bits, 32 bits more of each hash, each column as narrow as it can be."""
+    order = np.argsort(keys, kind="stable")
+    keys, bits = keys[order], max(0, len(keys).bit_length() - 4)
+    columns = [c[order].astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    bounds = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    head = np.array([len(keys), bits, *(c.itemsize for c in columns)], np.int64)
+    parts = [head, bounds, (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), *columns]
+    save(uri, name, np.concatenate([np.frombuffer(x.tobytes().ljust(-(-x.nbytes // 8) * 8, b"\0"), np.uint8) for x in parts]))
+
+
+def table_counts(uri: str, name: str, keys: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` columns of a table for hashes: [width, keys], 0 where a hash is not there."""
+    raw, out = mapped(uri, name, np.uint8), np.zeros((width, len(keys)))
+    if not len(raw):
+        return out
+    n, bits, *sizes = raw[: 8 * (2 + width)].view(np.int64).tolist()
+    at, parts = 8 * (2 + width), []
+    for count, size in [((1 << bits) + 1, 4), (n, 4), *((n, x) for x in sizes)]:
+        parts.append(raw[at : at + count * size].view(f"u{size}"))
+        at += -(-count * size // 8) * 8
+    bounds, rest, *columns = parts
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    wanted = (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+    low, end = bounds[bucket].astype(np.int64), bounds[bucket + 1].astype(np.int64)
+    high = end.copy()
+    for _ in range(int((end - low).max(initial=0)).bit_length()):
+        mid = (low + high) >> 1
+        less = (low < high) & (rest[np.minimum(mid, n - 1)] < wanted)
+        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+    hit = np.flatnonzero((low < end) & (rest[np.minimum(low, n - 1)] == wanted))
+    for k, column in enumerate(columns):
+        out[k, hit] = column[low[hit]]
+    return out
+
+
 def packed(values: np.ndarray) -> bytes:
     """Rising 64-bit numbers as differences, byte plane by byte plane, compressed."""
     steps = np.diff(values, prepend=np.zeros(1, values.dtype)).astype(np.uint64)
@@ -212,12 +276,147 @@ class Words:
         return ids[back], counts[back]
 
 
-def _pairs(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
-    """Keys of each token with the one before it."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[bounds[:-1]] = start
-    return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
+def grams(ids: np.ndarray, bounds: np.ndarray, n: int, start: int) -> np.ndarray:
+    """[n, tokens]: each token's id in the last row, those of the tokens before it above."""
+    out = np.empty((n, len(ids)), np.uint32)
+    out[-1] = ids
+    for k in range(n - 2, -1, -1):
+        out[k, 1:] = out[k + 1, :-1]
+        out[k, bounds[:-1]] = start
+    return out
+
+
+def hashed(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the columns of ``rows``."""
+    out = np.full(rows.shape[1], len(rows), np.uint64)
+    for row in rows:
+        out = tk.mix(out * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def _paired(rows: np.ndarray) -> np.ndarray:
+    """Keys of the two ids of each column."""
+    return rows[0].astype(np.uint64) << np.uint64(32) | rows[1].astype(np.uint64)
+
+
+def distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of ``rows`` in order, with the sums of their counts."""
+    if not rows.shape[1]:
+        return rows, counts
+    keys = [_paired(rows[k : k + 2]) if k + 1 < len(rows) else rows[k] for k in range(0, len(rows), 2)]
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return rows[:, order[first]], np.add.reduceat(counts[order], first)
+
+
+def _gram_blocks(rows: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One row for each shard of ordered n-grams: the ids' byte planes, the first id as differences, compressed."""
+    shard = _shard_of(hashed(rows[:-1]), bits)
+    order = np.argsort(shard, kind="stable")
+    rows, counts = rows[:, order], counts[order]
+    present, first = np.unique(shard[order], return_index=True)
+    found = []
+    for s, a, b in zip(present.tolist(), first.tolist(), [*first.tolist()[1:], len(order)], strict=True):
+        part = rows[:, a:b].copy()
+        part[0, 1:] -= rows[0, a : b - 1]
+        planes = np.ascontiguousarray(part.view(np.uint8).reshape(len(part), b - a, 4).transpose(0, 2, 1))
+        found.append((s, b - a, pa.compress(planes.tobytes(), "zstd", asbytes=True), small(counts[a:b])))
+    columns = list(zip(*found, strict=True)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "keys", "counts"])
+
+
+def _ids_of(raw: bytes, order: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * order * n, "zstd", asbytes=True), np.uint8).reshape(order, 4, n)
+    rows = planes.transpose(0, 2, 1).copy().view(np.uint32).reshape(order, n)
+    rows[0] = np.cumsum(rows[0], dtype=np.uint32)
+    return rows
+
+
+def _gram_shards(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, n-grams, counts) of partitions sorted by shard, blocks summed up as they come; shards below 0 as they are."""
+    now, held, size = None, [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return distinct(np.concatenate([x[0] for x in held], axis=1), np.concatenate([x[1] for x in held]))
+
+    for batch in batches:
+        for shard, n, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if shard != now:
+                if held:
+                    yield now, *merged()
+                now, held, size = shard, [], 0
+            rows = unpacked(keys, n).astype(np.uint32)[None] if shard < 0 else _ids_of(keys, order, n)
+            held.append((rows, unsmall(counts, n).astype(np.int64)))
+            size += n
+            if len(held) > 1 and size > 4 * SHARD_KEYS:
+                held = [merged()]
+                size = held[0][0].shape[1] // 2
+    if held:
+        yield now, *merged()
+
+
+def _tally(level: int, counts: np.ndarray) -> pa.RecordBatch:
+    """A row of shard ``-level`` with the number of counts 1, 2, 3, 4 and more."""
+    row = [-level, 5, packed(np.arange(5, dtype=np.uint64)), small(counts)]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "n", "keys", "counts"])
+
+
+def _counts_of_counts(counts: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(counts, 5), minlength=6)[1:6]
+
+
+def _text_grams(words: Words, order: int, bits: int):
+    """Blocks of the n-grams of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def together() -> pa.RecordBatch:
+            return _gram_blocks(*distinct(np.concatenate([x[0] for x in held], axis=1), np.concatenate([x[1] for x in held])), bits)
+
+        for batch in batches:
+            data, offs = tk.buffers(batch.column(0))
+            for lo, hi in tk.slices(offs, BLOCK_BYTES):
+                hashes, bounds = streams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                rows = grams(words.find(hashes)[0], bounds, order, words.size)
+                held.append((rows, np.ones(rows.shape[1], np.int64)))
+                size += rows.shape[1]
+                if size > GATHER:
+                    yield together()
+                    held, size = [], 0
+        if held:
+            yield together()
+
+    return run
+
+
+def _keep_grams(uri: str, order: int, below: int):
+    """Saves each shard's n-grams and contexts; blocks of the n-grams one shorter, with the number of different words before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows, counts in _gram_shards(batches, order):
+            if shard < 0:
+                yield _tally(-shard, counts)
+                continue
+            save_table(uri, f"grams{order}_{shard}", hashed(rows), [counts])
+            context = rows[:-1]
+            first = np.flatnonzero(np.concatenate([[True], (context[:, 1:] != context[:, :-1]).any(0)]))
+            total = [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            save_table(uri, f"contexts{order}_{shard}", hashed(context[:, first]), total)
+            yield _tally(order, _counts_of_counts(counts))
+            shorter, before = distinct(rows[1:], np.ones(rows.shape[1], np.int64))
+            if order > 3:
+                yield _gram_blocks(shorter, before, below)
+            else:
+                keys = _paired(shorter)
+                yield _blocks(keys, before, below, _shard_of(keys, below))
+
+    return run
 
 
 def _shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -229,7 +428,7 @@ def _pair_blocks(words: Words, bits: int):
 
     def pairs(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         hashes, bounds = streams(data, offs)
-        return _pairs(words.find(hashes)[0], bounds, words.size)
+        return _paired(grams(words.find(hashes)[0], bounds, 2, words.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _gathered(batches, pairs):
@@ -239,37 +438,38 @@ def _pair_blocks(words: Words, bits: int):
 
 
 def _keep_pairs(uri: str, id_bits: int):
-    """Saves each shard; rows (shard of ids * 4 + kind, n, ids, counts): kinds 0 to 2 are the
-    followers of a word seen once, twice, more often; 3 the words before it. Row -1 has counts of counts."""
+    """Saves each shard; rows (shard of ids * 5 + kind, n, ids, counts): kinds 0 to 2 are the
+    followers of a word with a count of one, two, more; 3 the words before it; 4 the sum over its followers. Shards below 0 have counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, counts in _by_shard(batches):
-            save(uri, f"pairs{shard}", keys)
-            save(uri, f"seen{shard}", counts.astype(np.uint32))
+            if shard < 0:
+                yield _tally(-shard, counts)
+                continue
+            save_table(uri, f"pairs{shard}", tk.mix(keys), [counts])
             left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            for kind in range(4):
-                own = right if kind == 3 else left[counts == kind + 1] if kind < 2 else left[counts > 2]
-                found, n = np.unique(own, return_counts=True)
+            for kind in range(5):
+                own = right if kind == 3 else left if kind == 4 else left[counts == kind + 1] if kind < 2 else left[counts > 2]
+                found, n = summed(own, counts if kind == 4 else np.ones(len(own), np.int64))
                 part = _blocks(found.astype(np.uint64), n, 1, found >> id_bits)
-                yield part.set_column(0, "shard", pa.array(np.asarray(part.column(0)) * 4 + kind, pa.int32()))
-            tally = np.bincount(np.minimum(counts, 5), minlength=6)[1:6]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([5]), pa.array([packed(np.arange(5, dtype=np.uint64))], pa.binary()), pa.array([small(tally)], pa.binary())], ["shard", "n", "keys", "counts"])
+                yield part.set_column(0, "shard", pa.array(np.asarray(part.column(0)) * 5 + kind, pa.int32()))
+            yield _tally(2, _counts_of_counts(counts))
 
     return run
 
 
 def _keep_ids(uri: str, id_bits: int):
-    """Saves dense arrays of each kind for ranges of ids; rows (kind, tally of counts 1, 2, 3, 4, more)."""
+    """Saves dense arrays of each kind for ranges of ids; rows (kind, tally of counts 1, 2, 3, 4, more), kinds below 0 being levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, keys, counts in _by_shard(batches):
-            tally = np.bincount(np.minimum(counts, 5), minlength=6)[1:6] if shard >= 0 else counts
-            kind, part = (-1, 0) if shard < 0 else (shard % 4, shard // 4)
+            tally = _counts_of_counts(counts) if shard >= 0 else counts
+            kind, part = (shard, 0) if shard < 0 else (shard % 5, shard // 5)
             if shard >= 0:
-                dense = np.zeros(1 << id_bits, np.uint32)
+                dense = np.zeros(1 << id_bits, np.min_scalar_type(int(counts.max())))
                 dense[(keys & np.uint64((1 << id_bits) - 1)).astype(np.int64)] = counts
                 save(uri, f"kind{kind}_{part}", dense)
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([tally.tolist()], pa.list_(pa.int64()))], ["kind", "part", "tally"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([tally.tolist()], pa.list_(pa.int64()))], ["kind", "tally"])
 
     return run
 
@@ -286,14 +486,14 @@ def discounts(tally: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """``bits`` are those of the shards of each level, ``discounts`` those of the levels from words on."""
+
     words: Words
     uri: str
+    order: int
     bits: int
     id_bits: int
-    parts: dict
-    texts: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    discounts: list[np.ndarray]
     pairs: int
     uniform: float
     spare: float
@@ -303,52 +503,55 @@ class Model:
         out = np.zeros(len(ids), np.float64)
         part = ids >> self.id_bits
         for k in np.unique(part).tolist():
-            if (kind, k) in self.parts:
+            raw = mapped(self.uri, f"kind{kind}_{k}", np.uint8)
+            if len(raw):
                 own = np.flatnonzero(part == k)
-                out[own] = mapped(self.uri, f"kind{kind}_{k}", np.uint32)[ids[own] & (1 << self.id_bits) - 1]
+                out[own] = raw.view(f"u{len(raw) >> self.id_bits}")[ids[own] & (1 << self.id_bits) - 1]
         return out
 
-    def seen(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of pairs; queries go through each shard in rising order."""
-        own, back = np.unique(keys, return_inverse=True)
-        out, shard = np.zeros(len(own)), _shard_of(own, self.bits)
+    def counts(self, name: str, keys: np.ndarray, dealt: np.ndarray, width: int) -> np.ndarray:
+        """The columns of a table for keys, which ``dealt`` deals to shards; queries go through each shard in rising order."""
+        own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        out, shard = np.zeros((width, len(own))), _shard_of(dealt[first], self.bits)
         order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        for k in range(1 << self.bits):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at) and ("pairs", k) in self.parts:
-                held = mapped(self.uri, f"pairs{k}", np.uint64)
-                where = np.minimum(np.searchsorted(held, own[at]), len(held) - 1)
-                hit = held[where] == own[at]
-                out[at[hit]] = mapped(self.uri, f"seen{k}", np.uint32)[where[hit]]
-        return out[back]
-
-    def log10(self, ids: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(own) else []:
+            out[:, at] = table_counts(self.uri, f"{name}{shard[at[0]]}", own[at], width)
+        return out[:, back]
+
+    def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 p of each token."""
-        start = self.words.size
-        before, follows = np.empty_like(ids), np.empty(len(ids), np.float64)
-        before[1:], follows[1:] = ids[:-1], counts[:-1]
-        before[bounds[:-1]], follows[bounds[:-1]] = start, self.texts
+        rows = grams(ids, bounds, self.order, self.words.size)
+
+        def level(n: int, total: np.ndarray, seen: np.ndarray, followers: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+            less = self.discounts[n - 1]
+            share = np.where(total > 0, total, 1)
+            direct = np.maximum(seen - less[np.minimum(seen, 3).astype(int)], 0) / share
+            back = sum(less[k + 1] * followers[k] for k in range(3)) / share
+            return np.where(total > 0, direct + back * lower, lower)
+
         n = self.of_ids(3, ids)
-        lower = np.maximum(n - self.word_discounts[np.minimum(n, 3).astype(int)], 0) / max(1, self.pairs) + self.spare * self.uniform
-        seen = self.seen(_pairs(ids, bounds, start))
-        known = follows > 0
-        share = np.where(known, follows, 1)
-        direct = np.maximum(seen - self.pair_discounts[np.minimum(seen, 3).astype(int)], 0) / share
-        back = sum(self.pair_discounts[k + 1] * self.of_ids(k, before) for k in range(3)) / share
-        return np.log10(np.where(known, direct + back * lower, lower))
+        p = np.maximum(n - self.discounts[0][np.minimum(n, 3).astype(int)], 0) / max(1, self.pairs) + self.spare * self.uniform
+        before, pair = rows[-2].astype(np.int64), _paired(rows[-2:])
+        p = level(2, self.of_ids(4, before), self.counts("pairs", tk.mix(pair), pair, 1)[0], [self.of_ids(k, before) for k in range(3)], p)
+        for k in range(3, self.order + 1):
+            context = hashed(rows[-k:-1])
+            total, *followers = self.counts(f"contexts{k}_", context, context, 4)
+            p = level(k, total, self.counts(f"grams{k}_", hashed(rows[-k:]), context, 1)[0], followers, p)
+        return np.log10(p)
 
 
-def fit(texts: DataFrame, text_col: str = "text") -> Model:
-    """Count every row of ``texts`` (null: empty) and store the model in the shared folder.
+def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """Count every row of ``texts`` (null: empty) and store the model of n-grams up to ``order`` in the shared folder.
 
     What reaches the driver are the sizes of the shards and counts of counts.
     """
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     bounded_batches(texts.sparkSession)
     spark = texts.sparkSession
     rows = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     uri = new_path(spark, "model")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()
     deal = lambda df, bits: df.repartition(1 << bits, "shard").sortWithinPartitions("shard")
     bits = min(16, _bits((size["bytes"] or 0) // 8, SHARD_KEYS))
     kept = deal(rows.mapInArrow(_word_blocks(bits), BLOCKS), bits).mapInArrow(_keep_words(uri), "shard int, n long, total long").collect()
@@ -357,21 +560,22 @@ def fit(texts: DataFrame, text_col: str = "text") -> Model:
         sizes[r["shard"] + 1] = r["n"]
     words = Words(uri, bits, np.cumsum(sizes), sum(r["total"] for r in kept))
     if words.size >= (1 << 32) - 2:
-        raise ValueError("more than 2**32 - 3 different words: ids no longer fit a pair")
+        raise ValueError("more than 2**32 - 3 different words: ids no longer fit an n-gram")
     bits = min(20, _bits(words.total, SHARD_KEYS))
     id_bits = max(16, words.size.bit_length() - min(12, max(0, words.size.bit_length() - 20)))
-    pairs = deal(rows.mapInArrow(_pair_blocks(words, bits), BLOCKS), bits).mapInArrow(_keep_pairs(uri, id_bits), BLOCKS)
-    by_id = written(pairs, "pair-counts")
-    kinds = deal(by_id, min(12, max(2, (words.size >> id_bits).bit_length() + 2))).mapInArrow(_keep_ids(uri, id_bits), "kind int, part int, tally array<long>").collect()
-    tallies = {k: sum((np.array(r["tally"]) for r in kinds if r["kind"] == k), np.zeros(5, np.int64)) for k in (-1, 3)}
-    parts = {(r["kind"], r["part"]): 1 for r in kinds if r["kind"] >= 0}
-    store, root = _store(uri)
-    parts |= {("pairs", int(f.base_name[5:])): 1 for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("pairs")}
-    total = int(tallies[-1].sum())
+    blocks = rows.mapInArrow(_text_grams(words, order, bits) if order > 2 else _pair_blocks(words, bits), BLOCKS)
+    for level in range(order, 2, -1):
+        blocks = deal(blocks, bits).mapInArrow(_keep_grams(uri, level, bits), BLOCKS)
+    by_id = written(deal(blocks, bits).mapInArrow(_keep_pairs(uri, id_bits), BLOCKS), "pair-counts")
+    kinds = deal(by_id, min(12, max(2, (words.size >> id_bits).bit_length() + 2))).mapInArrow(_keep_ids(uri, id_bits), "kind int, tally array<long>")
+    tallies = {k: np.zeros(5, np.int64) for k in (*range(-order, -1), 3)}
+    for r in kinds.groupBy("kind").agg(*(F.sum(F.col("tally")[k]).alias(f"n{k}") for k in range(5))).collect():
+        tallies[r["kind"]] = np.array(r[1:], np.int64)
+    total = int(tallies[-2].sum())
     lower = discounts(tallies[3])
     kinds_of = np.array([tallies[3][0], tallies[3][1], tallies[3][2:].sum()], float)
     spare = float((lower[1:] * kinds_of).sum()) / total if total else 1.0
-    return Model(words, uri, bits, id_bits, parts, size["n"], discounts(tallies[-1]), lower, total, 1 / (words.size + 1), spare)
+    return Model(words, uri, order, bits, id_bits, [lower, *(discounts(tallies[-k]) for k in range(2, order + 1))], total, 1 / (words.size + 1), spare)
 
 
 def _score(model: Model):
@@ -383,7 +587,7 @@ def _score(model: Model):
                 hashes, bounds = streams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 ids, counts = model.words.find(hashes)
                 base = np.add.reduceat(np.log10((counts + 1) / (n + v + 1)), bounds[:-1])
-                score = np.add.reduceat(model.log10(ids, counts, bounds), bounds[:-1])
+                score = np.add.reduceat(model.log10(ids, bounds), bounds[:-1])
                 known = np.add.reduceat((counts > 0).astype(np.int64), bounds[:-1])
                 size = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
@@ -398,8 +602,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id_col, n_tokens, n_known, train_tokens, base_score, score, perplexity) for each row of ``docs``.
 
     Scores are log10 probabilities of whole texts; ``base_score`` is that of add-one word
-    frequencies. Null and blank texts are the end token alone. After a word that the
-    training texts lack, the lower level is used alone. No rows give none.
+    frequencies. Null and blank texts are the end token alone. After words that the
+    training texts never have together, the lower level is used alone. No rows give none.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
