@@ -2,14 +2,15 @@
 
 Counting runs in Spark. Vocabulary and n-gram counts become sorted arrays cut into
 shard files in the shared folder, written by the workers, and memory-mapped by the
-workers that score. A word's id is its place in the sorted array of word hashes; n-grams are
-counted as tuples of ids, so they never collide while counting. What is shuffled are sorted,
+workers that score. A word's id is its rank by frequency in its shard of the vocabulary, with the shard, so that frequent words
+have small ids, which compress well; n-grams are counted as tuples of ids, so they never collide while counting. What is shuffled are sorted,
 delta-coded and compressed blocks, one for each shard of each batch of texts: pairs are dealt by
 a hash of the whole key, longer n-grams by their context, which has a row for each different
 follower of a block at most, whatever its frequency.
 
-Stored n-grams are found by a 64-bit hash, of which a shard's directory and 32 more bits are
-kept: an n-gram that was never seen is taken for a seen one about once in 2^28 lookups.
+Stored n-grams are found by a 64-bit hash, of which a shard's directory and 24 more bits are
+kept: an n-gram that was never seen is taken for a seen one about once in 2^20 lookups. What occurs
+once is stored as its hash alone.
 
 ``p(w|h) = max(a(hw) - D, 0) / a(h) + g(h) p(w|h')``, ``h'`` being ``h`` without its first word. ``a`` counts
 occurrences at the highest order and different words before the n-gram below it; the lowest
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import bounded_batches, new_path, written
+from textloom.llm.shared import bounded_batches, new_path
 
 ORDER = 3
 BLOCK_BYTES = 4 << 20
@@ -97,39 +98,57 @@ def mapped(uri: str, name: str, kind: type) -> np.ndarray:
     return found
 
 
+#: The columns of what occurs once: its count, or of a context the sum over its followers and those with counts of one, two, more.
+_ONCE = (1, 1, 0, 0)
+
+
+def _directory(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted hashes as arrays: sizes, a directory by top bits, 16 and 8 bits more of each hash, each column as narrow as it can be."""
+    bits = max(0, len(keys).bit_length() - 4)
+    columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    bounds = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    rest = keys << np.uint64(bits) >> np.uint64(40)
+    return [np.array([len(keys), bits, *(c.itemsize for c in columns)], np.int64), bounds, (rest >> np.uint64(8)).astype(np.uint16), rest.astype(np.uint8), *columns]
+
+
 def save_table(uri: str, name: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-    """Write hashes with columns of counts: a directory by top bits, 32 bits more of each hash, each column as narrow as it can be."""
+    """Write hashes with columns of counts: those with the columns of ``_ONCE``, then the others with their columns."""
     order = np.argsort(keys, kind="stable")
-    keys, bits = keys[order], max(0, len(keys).bit_length() - 4)
-    columns = [c[order].astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
-    bounds = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
-    head = np.array([len(keys), bits, *(c.itemsize for c in columns)], np.int64)
-    parts = [head, bounds, (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), *columns]
+    keys, columns = keys[order], [c[order] for c in columns]
+    once = np.logical_and.reduce([c == x for c, x in zip(columns, _ONCE, strict=False)])
+    parts = _directory(keys[once], []) + _directory(keys[~once], [c[~once] for c in columns])
     save(uri, name, np.concatenate([np.frombuffer(x.tobytes().ljust(-(-x.nbytes // 8) * 8, b"\0"), np.uint8) for x in parts]))
 
 
+def _places(bounds: np.ndarray, high: np.ndarray, low: np.ndarray, bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which keys are in a directory, their places)."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    wanted = (keys << np.uint64(bits) >> np.uint64(40)).astype(np.uint32)
+    first, end = bounds[bucket].astype(np.int64), bounds[bucket + 1].astype(np.int64)
+    last, most = end.copy(), max(0, len(high) - 1)
+    if not len(high):
+        return first[:0], first[:0]
+    value = lambda at: high[at].astype(np.uint32) << np.uint32(8) | low[at]
+    for _ in range(int((end - first).max(initial=0)).bit_length()):
+        mid = (first + last) >> 1
+        less = (first < last) & (value(np.minimum(mid, most)) < wanted)
+        first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
+    hit = np.flatnonzero((first < end) & (value(np.minimum(first, most)) == wanted))
+    return hit, first[hit]
+
+
 def table_counts(uri: str, name: str, keys: np.ndarray, width: int) -> np.ndarray:
     """The ``width`` columns of a table for hashes: [width, keys], 0 where a hash is not there."""
-    raw, out = mapped(uri, name, np.uint8), np.zeros((width, len(keys)))
-    if not len(raw):
-        return out
-    n, bits, *sizes = raw[: 8 * (2 + width)].view(np.int64).tolist()
-    at, parts = 8 * (2 + width), []
-    for count, size in [((1 << bits) + 1, 4), (n, 4), *((n, x) for x in sizes)]:
-        parts.append(raw[at : at + count * size].view(f"u{size}"))
-        at += -(-count * size // 8) * 8
-    bounds, rest, *columns = parts
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    wanted = (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
-    low, end = bounds[bucket].astype(np.int64), bounds[bucket + 1].astype(np.int64)
-    high = end.copy()
-    for _ in range(int((end - low).max(initial=0)).bit_length()):
-        mid = (low + high) >> 1
-        less = (low < high) & (rest[np.minimum(mid, n - 1)] < wanted)
-        low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
-    hit = np.flatnonzero((low < end) & (rest[np.minimum(low, n - 1)] == wanted))
-    for k, column in enumerate(columns):
-        out[k, hit] = column[low[hit]]
+    raw, out, at = mapped(uri, name, np.uint8), np.zeros((width, len(keys))), 0
+    for columns in (0, width) if len(raw) else ():
+        n, bits, *sizes = raw[at : at + 8 * (2 + columns)].view(np.int64).tolist()
+        at, parts = at + 8 * (2 + columns), []
+        for count, size in [((1 << bits) + 1, 4), (n, 2), (n, 1), *((n, x) for x in sizes)]:
+            parts.append(raw[at : at + count * size].view(f"u{size}"))
+            at += -(-count * size // 8) * 8
+        hit, place = _places(*parts[:3], bits, keys)
+        for k in range(width):
+            out[k, hit] = parts[3 + k][place] if columns else _ONCE[k]
     return out
 
 
@@ -243,6 +262,9 @@ def _keep_words(uri: str):
         for shard, keys, counts in _by_shard(batches):
             save(uri, f"words{shard}", keys)
             save(uri, f"counts{shard}", counts)
+            ranks = np.empty(len(keys), np.uint32)
+            ranks[np.argsort(-counts, kind="stable")] = np.arange(len(keys))
+            save(uri, f"ranks{shard}", ranks)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["shard", "n", "total"])
 
     return run
@@ -250,28 +272,32 @@ def _keep_words(uri: str):
 
 @dataclass
 class Words:
-    """The sorted vocabulary, cut by top bits of the hash; ``starts`` has each shard's first id."""
+    """The sorted vocabulary, cut by top bits of the hash. Ids are below ``space``, which is the id of the start mark."""
 
     uri: str
     bits: int
-    starts: np.ndarray
+    sizes: np.ndarray
     total: int
 
     @property
     def size(self) -> int:
-        return int(self.starts[-1])
+        return int(self.sizes.sum())
+
+    @property
+    def space(self) -> int:
+        return int(self.sizes.max()) << self.bits
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of words; unknown ones have the id ``size + 1`` and count 0. ``size`` is the start mark."""
+        """(ids, counts) of words; unknown ones have the id ``space + 1`` and count 0."""
         own, back = np.unique(hashes, return_inverse=True)
-        ids, counts = np.full(len(own), self.size + 1, np.int64), np.zeros(len(own), np.int64)
+        ids, counts = np.full(len(own), self.space + 1, np.int64), np.zeros(len(own), np.int64)
         edges = np.searchsorted(own, (np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(0, np.uint64))
         for shard, (a, b) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(own)], strict=True)):
-            if a < b and self.starts[shard] < self.starts[shard + 1]:
+            if a < b and self.sizes[shard]:
                 keys = mapped(self.uri, f"words{shard}", np.uint64)
                 at = np.minimum(np.searchsorted(keys, own[a:b]), len(keys) - 1)
                 hit = keys[at] == own[a:b]
-                ids[a:b][hit] = at[hit] + self.starts[shard]
+                ids[a:b][hit] = mapped(self.uri, f"ranks{shard}", np.uint32)[at[hit]].astype(np.int64) << self.bits | shard
                 counts[a:b][hit] = mapped(self.uri, f"counts{shard}", np.int64)[at[hit]]
         return ids[back], counts[back]
 
@@ -383,7 +409,7 @@ def _text_grams(words: Words, order: int, bits: int):
             data, offs = tk.buffers(batch.column(0))
             for lo, hi in tk.slices(offs, BLOCK_BYTES):
                 hashes, bounds = streams(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                rows = grams(words.find(hashes)[0], bounds, order, words.size)
+                rows = grams(words.find(hashes)[0], bounds, order, words.space)
                 held.append((rows, np.ones(rows.shape[1], np.int64)))
                 size += rows.shape[1]
                 if size > GATHER:
@@ -428,7 +454,7 @@ def _pair_blocks(words: Words, bits: int):
 
     def pairs(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         hashes, bounds = streams(data, offs)
-        return _paired(grams(words.find(hashes)[0], bounds, 2, words.size))
+        return _paired(grams(words.find(hashes)[0], bounds, 2, words.space))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in _gathered(batches, pairs):
@@ -520,7 +546,7 @@ class Model:
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 p of each token."""
-        rows = grams(ids, bounds, self.order, self.words.size)
+        rows = grams(ids, bounds, self.order, self.words.space)
 
         def level(n: int, total: np.ndarray, seen: np.ndarray, followers: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
             less = self.discounts[n - 1]
@@ -555,19 +581,19 @@ def fit(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     deal = lambda df, bits: df.repartition(1 << bits, "shard").sortWithinPartitions("shard")
     bits = min(16, _bits((size["bytes"] or 0) // 8, SHARD_KEYS))
     kept = deal(rows.mapInArrow(_word_blocks(bits), BLOCKS), bits).mapInArrow(_keep_words(uri), "shard int, n long, total long").collect()
-    sizes = np.zeros((1 << bits) + 1, np.int64)
+    sizes = np.zeros(1 << bits, np.int64)
     for r in kept:
-        sizes[r["shard"] + 1] = r["n"]
-    words = Words(uri, bits, np.cumsum(sizes), sum(r["total"] for r in kept))
-    if words.size >= (1 << 32) - 2:
-        raise ValueError("more than 2**32 - 3 different words: ids no longer fit an n-gram")
+        sizes[r["shard"]] = r["n"]
+    words = Words(uri, bits, sizes, sum(r["total"] for r in kept))
+    if words.space >= (1 << 32) - 2:
+        raise ValueError("some 2**32 different words: ids no longer fit an n-gram")
     bits = min(20, _bits(words.total, SHARD_KEYS))
-    id_bits = max(16, words.size.bit_length() - min(12, max(0, words.size.bit_length() - 20)))
+    id_bits = max(16, words.space.bit_length() - min(12, max(0, words.space.bit_length() - 20)))
     blocks = rows.mapInArrow(_text_grams(words, order, bits) if order > 2 else _pair_blocks(words, bits), BLOCKS)
     for level in range(order, 2, -1):
         blocks = deal(blocks, bits).mapInArrow(_keep_grams(uri, level, bits), BLOCKS)
-    by_id = written(deal(blocks, bits).mapInArrow(_keep_pairs(uri, id_bits), BLOCKS), "pair-counts")
-    kinds = deal(by_id, min(12, max(2, (words.size >> id_bits).bit_length() + 2))).mapInArrow(_keep_ids(uri, id_bits), "kind int, tally array<long>")
+    by_id = deal(blocks, bits).mapInArrow(_keep_pairs(uri, id_bits), BLOCKS)
+    kinds = deal(by_id, min(12, max(2, (words.space >> id_bits).bit_length() + 2))).mapInArrow(_keep_ids(uri, id_bits), "kind int, tally array<long>")
     tallies = {k: np.zeros(5, np.int64) for k in (*range(-order, -1), 3)}
     for r in kinds.groupBy("kind").agg(*(F.sum(F.col("tally")[k]).alias(f"n{k}") for k in range(5))).collect():
         tallies[r["kind"]] = np.array(r[1:], np.int64)
