@@ -222,3 +222,38 @@ def test_sql_names_streams_and_files(spark, tmp_path):
     assert sorted(r["text"] for r in read_texts(spark, str(tmp_path / "txt"), "text", whole=False).collect()) == ["A bee. See dee.", "x"]
     assert not is_gpu_available() and "false" in gpu_info()
     assert callable(aliases.toktok_tokenize_batch_gpu) and callable(aliases.texttiling_tokenize_gpu) and callable(aliases.xml_escape_py)
+
+
+def test_spans_of_long_texts_take_one_pass(spark):
+    import time
+
+    text = "word, " * 40_000
+    df = spark.createDataFrame([(text,)], "t string").cache()
+    df.count()
+    start = time.perf_counter()
+    tokens = fn.regexp_tokenize("t", r"\w+")
+    row = df.select(fn.string_span_tokenize("t", " ").alias("a"), fn.regexp_span_tokenize("t", ", ").alias("b"), fn.align_tokens(tokens, "t").alias("c"), fn.spans_to_relative(fn.string_span_tokenize("t", " ")).alias("d")).first()
+    assert time.perf_counter() - start < 20
+    assert [len(row[k]) for k in "abcd"] == [40_000] * 4
+    assert [tuple(x) for x in row["c"][-2:]] == [(6 * k, 6 * k + 4) for k in (39_998, 39_999)] and [tuple(x) for x in row["d"][:2]] == [(0, 5), (1, 5)]
+
+
+def test_contexts_of_a_configured_model(spark, tmp_path):
+    from textloom.functions import sentences
+
+    df = spark.createDataFrame([("It sued Acme Inc. Critics objected.",)], "t string")
+    plain = sentences.SentenceModel()
+    path = tmp_path / "contexts.tsv"
+    path.write_text("critics\t34\n", encoding="utf-8")
+    assert df.select(fn.sent_tokenize("t")).first()[0] == ["It sued Acme Inc. Critics objected."]
+    spark.conf.set(sentences.CONTEXTS, str(path))
+    try:
+        assert df.select(fn.sent_tokenize("t")).first()[0] == ["It sued Acme Inc.", "Critics objected."]
+        assert df.select(fn.word_tokenize("t")).first()[0] == ["It", "sued", "Acme", "Inc", ".", "Critics", "objected", "."]
+    finally:
+        spark.conf.unset(sentences.CONTEXTS)
+    both = plain.with_contexts({"critics": 2}).with_contexts({"critics": 32})
+    assert both.contexts == {"critics": 34} and both.cleared() == plain
+    assert df.select(fn.sent_tokenize("t", model=both)).first()[0] == ["It sued Acme Inc.", "Critics objected."]
+    with pytest.warns(UserWarning, match="no sentence model"):
+        fn.sent_tokenize("t", language="french")

@@ -8,11 +8,20 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import Column, DataFrame
+
 from textloom import functions as fn
 
 sent_tokenize_batch = sent_tokenize_batch_gpu = fn.sent_tokenize
 word_tokenize_batch = partial(fn.word_tokenize, mode="punkt")
 word_tokenize_batch_gpu = partial(fn.word_tokenize, mode="line")
+word_tokenize_span = fn.word_spans
+
+
+def legality_tokenize_with_corpus_py(word: Column | str, corpus: DataFrame) -> Column:
+    """Syllables by the onsets that ``corpus``, a table of words (column ``word``), holds. Fewer than 1,000 onsets reach the driver, by definition."""
+    return fn.legality_with_onsets(word, [r["onset"] for r in fn.legal_onsets(corpus).select("onset").collect()])
+
 
 _SINGLE = (
     "string_span_tokenize", "regexp_span_tokenize", "spans_to_relative", "is_cjk", "xml_escape", "xml_unescape", "align_tokens", "casual_tokenize",

@@ -9,10 +9,12 @@ has the same rules as relational operators.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import types as T
 
 from textloom.functions.rx import STRINGS, arrow, col
@@ -91,6 +93,14 @@ class SentenceModel:
             rows = (line.rstrip("\n").rpartition("\t") for line in f)
             return SentenceModel(contexts={t: int(bits) for t, _, bits in rows if bits}, **lists)
 
+    def cleared(self) -> SentenceModel:
+        """This model without any context."""
+        return replace(self, contexts={})
+
+    def with_contexts(self, more: Mapping) -> SentenceModel:
+        """This model with the bits of ``more`` added to those of each type."""
+        return replace(self, contexts={t: self.contexts.get(t, 0) | more.get(t, 0) for t in {**self.contexts, **more}})
+
     def is_abbreviation(self, token: str) -> bool:
         stem = token[:-1].lower()
         return stem in self.abbreviations or stem.rpartition("-")[2] in self.abbreviations
@@ -215,18 +225,35 @@ DEFAULT = SentenceModel()
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _column(text: Column | str, model: SentenceModel | None, realign: bool, spans: bool) -> Column:
-    model = model or DEFAULT
+#: Session setting: a file for ``SentenceModel.load``, whose contexts calls without a model then use.
+CONTEXTS = "spark.textloom.sentence.contexts"
+
+
+@lru_cache(maxsize=8)
+def _loaded(path: str) -> SentenceModel:
+    return SentenceModel.load(path)
+
+
+def chosen(model: SentenceModel | None = None, language: str = "english") -> SentenceModel:
+    """``model``, or that of the session's setting, or ``DEFAULT``. Only English is built in: another language warns."""
+    if model is None and language != "english":
+        warnings.warn(f"no sentence model for {language!r} is built in; the English one is used. Give one as model=", stacklevel=3)
+    session = SparkSession.getActiveSession()
+    path = session.conf.get(CONTEXTS, None) if session else None
+    return model or (_loaded(path) if path else DEFAULT)
+
+
+def _column(text: Column | str, model: SentenceModel, realign: bool, spans: bool) -> Column:
     if spans:
         return arrow(SPANS, lambda t: [{"start": a, "end": b} for a, b in sentence_spans(t, model, realign)])(col(text))
     return arrow(STRINGS, lambda t: [t[a:b] for a, b in sentence_spans(t, model, realign)])(col(text))
 
 
-def sent_tokenize(text: Column | str, model: SentenceModel | None = None, realign_boundaries: bool = True) -> Column:
+def sent_tokenize(text: Column | str, model: SentenceModel | None = None, realign_boundaries: bool = True, language: str = "english") -> Column:
     """Sentences of a text; none if it is blank."""
-    return _column(text, model, realign_boundaries, False)
+    return _column(text, chosen(model, language), realign_boundaries, False)
 
 
-def sent_spans(text: Column | str, model: SentenceModel | None = None, realign_boundaries: bool = True) -> Column:
+def sent_spans(text: Column | str, model: SentenceModel | None = None, realign_boundaries: bool = True, language: str = "english") -> Column:
     """Code point spans of the sentences."""
-    return _column(text, model, realign_boundaries, True)
+    return _column(text, chosen(model, language), realign_boundaries, True)

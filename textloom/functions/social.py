@@ -51,7 +51,8 @@ def unescape(text: Column | str, numeric: bool = True) -> Column:
     c = col(text)
     for name, ch in ENTITIES:
         c = swap(c, name, ch)
-    return F.when(F.contains(c, F.lit("&#")), arrow(T.StringType(), _numbered)(c)).otherwise(c) if numeric else c
+    # the other texts go to the function as nulls: a condition alone does not keep rows from it
+    return F.coalesce(arrow(T.StringType(), _numbered)(F.when(F.contains(c, F.lit("&#")), c)), c) if numeric else c
 
 
 def strip_handles(text: Column | str) -> Column:

@@ -1,31 +1,71 @@
-"""Character spans, as half-open code point ranges."""
+"""Character spans, as half-open code point ranges.
+
+Texts are cut by built-in functions. What adds up the lengths is an Arrow function over whole batches, as
+no built-in function gives running sums of an array in one pass; tokens are looked up in one walk over the text.
+"""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from textloom.deploy import ship
 from textloom.functions.rx import col, rx_all
 
 SPANS = "array<struct<start:int,end:int>>"
+SPANS_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 #: Code point ranges of East Asian scripts.
 CJK_RANGES = ((4352, 4607), (11904, 42191), (43072, 43135), (44032, 55215), (63744, 64255), (65072, 65103), (65381, 65500), (131072, 196607))
 
 
-def _between(pieces: Column, breaks: Column) -> Column:
-    """Spans of ``pieces``, which ``breaks`` (one fewer) separate."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+def _added(lead: Column, size: Column, step: Column) -> Column:
+    """Spans of ``size`` that begin ``lead`` after the sum of all steps before, from arrays of equal lengths."""
+    ship()
+
+    @F.arrow_udf(SPANS_TYPE)
+    def run(lead: pa.Array, size: pa.Array, step: pa.Array) -> pa.Array:
+        known = step.is_valid()
+        counts = np.where(known, step.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        steps, first, sizes = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (step, lead, size))
+        total = np.concatenate([[0], np.cumsum(steps)])
+        start = total[:-1] - np.repeat(total[ends[:-1]], counts) + first
+        spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array((start + sizes).astype(np.int32))], ["start", "end"])
+        offsets = pa.array(ends.astype(np.int32), mask=np.append(~known.to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, spans).cast(to_arrow_type(SPANS_TYPE))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["piece"])
-        span = F.struct(acc["at"].alias("start"), end.alias("end"))
-        return F.struct((end + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    return run(lead, size, step)
 
-    zipped = F.zip_with(pieces, breaks, lambda p, b: F.struct(p.alias("piece"), b.alias("gap")))
-    return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
+
+def _looked_up(tokens: Column, text: Column, one) -> Column:
+    """``one(tokens, text)``, a pair of spans (or null) and a lost token, for each row; null of null."""
+    ship()
+    kind = T.StructType([T.StructField("spans", SPANS_TYPE), T.StructField("lost", T.StringType())])
+    out = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def run(tokens: pa.Array, texts: pa.Array) -> pa.Array:
+        rows = []
+        for own, text in zip(tokens.to_pylist(), texts.to_pylist(), strict=True):
+            spans, lost = (None, None) if own is None or text is None else one(own, text)
+            rows.append({"spans": spans if spans is None else [{"start": x, "end": y} for x, y in spans], "lost": lost})
+        return pa.array(rows, out)
+
+    return run(tokens, text)
+
+
+def _between(pieces: Column, breaks: Column) -> Column:
+    """Spans of ``pieces``, which ``breaks`` (one fewer) separate."""
+    sizes = F.transform(pieces, lambda p: F.length(p))
+    steps = F.zip_with(pieces, breaks, lambda p, b: F.length(p) + F.coalesce(F.length(b), F.lit(0)))
+    return _added(F.transform(pieces, lambda p: F.lit(0)), sizes, steps)
 
 
 def string_span_tokenize(text: Column | str, separator: str) -> Column:
@@ -64,30 +104,34 @@ def regexp_span_tokenize(text: Column | str, pattern: str) -> Column:
 def spans_to_relative(spans: Column | str) -> Column:
     """(offset from the end before, length) of each span."""
     c = col(spans)
-    return F.transform(c, lambda s, i: F.struct((s["start"] - F.when(i > 0, F.get(c, i - 1)["end"]).otherwise(0)).alias("offset"), (s["end"] - s["start"]).alias("len")))
+    before = F.concat(F.array(F.lit(0)), F.transform(c, lambda s: s["end"]))
+    pairs = F.zip_with(c, before, lambda s, e: F.when(s.isNotNull(), F.struct((s["start"] - e).alias("offset"), (s["end"] - s["start"]).alias("len"))))
+    return F.filter(pairs, lambda x: x.isNotNull())
 
 
 def align_tokens(tokens: Column | str, sentence: Column | str, strict: bool = True) -> Column:
     """Spans of tokens found one after the other. A token that is not there raises an error, or gives null unless ``strict``."""
     t, s = col(tokens), col(sentence)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"), F.lit(None).cast("string").alias("lost"))
-
-    def step(acc: Column, tok: Column) -> Column:
-        found = F.when(F.length(tok) == 0, acc["at"] + 1).otherwise(F.position(tok, s, acc["at"] + 1))
-        fine = (found > 0) & acc["lost"].isNull()
-        span = F.struct((found - 1).alias("start"), (found - 1 + F.length(tok)).alias("end"))
-        return F.struct(
-            F.when(fine, found - 1 + F.length(tok)).otherwise(acc["at"]).alias("at"),
-            F.when(fine, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-            F.coalesce(acc["lost"], F.when(~fine, tok)).alias("lost"),
-        )
-
-    done = F.aggregate(t, start, step)
+    done = _looked_up(t, s, found_in_turn)
     error = F.raise_error(F.concat(F.lit('substring "'), done["lost"], F.lit('" not found in "'), s, F.lit('"')))
     bad = error.cast(SPANS) if strict else F.lit(None).cast(SPANS)
     return F.when(done["lost"].isNull(), done["spans"]).otherwise(bad)
 
 
+def found_in_turn(tokens: list, text: str) -> tuple[list | None, str | None]:
+    """(spans, None), or (None, the first token that is not there). Null tokens are passed over."""
+    at, out = 0, []
+    for token in tokens:
+        if token is None:
+            continue
+        here = text.find(token, at)
+        if here < 0:
+            return None, token
+        at = here + len(token)
+        out.append((here, at))
+    return out, None
+
+
 def is_cjk(ch: Column | str) -> Column:
     """Whether the first code point is in one of ``CJK_RANGES``; false for an empty string."""
     code = F.ascii(col(ch))
@@ -100,18 +144,11 @@ def is_cjk(ch: Column | str) -> Column:
 def regexp_match_spans(text: Column | str, pattern: str, gaps: bool = False) -> Column:
     """Spans of the matches of ``pattern``, or with ``gaps`` the non-empty ones between them."""
     c, unicode = col(text), f"(?U){pattern}"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
     pieces, matches = F.split(c, unicode, -1), rx_all(c, unicode)
     if gaps:
         return F.filter(_between(pieces, matches), lambda s: s["start"] != s["end"])
-    return F.aggregate(F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), start, step, lambda acc: acc["spans"])
+    both = F.filter(F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("lead"), F.length(m).alias("size"))), lambda x: x["size"].isNotNull())
+    return _added(F.transform(both, lambda x: x["lead"]), F.transform(both, lambda x: x["size"]), F.transform(both, lambda x: x["lead"] + x["size"]))
 
 
 def char_spans(text: Column | str) -> Column:

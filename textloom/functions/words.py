@@ -67,7 +67,7 @@ def needs_sentence_split(text: Column | str) -> Column:
     return (F.octet_length(c) >= 3) & c.rlike(_MAY_SPLIT)
 
 
-def word_tokenize(text: Column | str, convert_parentheses: bool = False, mode: str = "auto", preserve_line: bool = False, model: SentenceModel | None = None) -> Column:
+def word_tokenize(text: Column | str, convert_parentheses: bool = False, mode: str = "auto", preserve_line: bool = False, model: SentenceModel | None = None, language: str = "english") -> Column:
     """Word tokens of a text.
 
     ``mode`` auto splits sentences first only where the text may hold several, punkt always,
@@ -79,7 +79,8 @@ def word_tokenize(text: Column | str, convert_parentheses: bool = False, mode: s
     whole = treebank_tokenize(c, convert_parentheses)
     if preserve_line or mode == "line":
         return whole
-    sentences = sent_tokenize(c, model=model)
+    # texts that stay whole go to the sentence function as nulls
+    sentences = sent_tokenize(c if mode == "punkt" else F.when(needs_sentence_split(c), c), model=model, language=language)
     split = F.flatten(F.transform(sentences, lambda s: treebank_tokenize(s, convert_parentheses)))
     alone = F.size(sentences) == 0 if mode == "punkt" else ~needs_sentence_split(c)
     return F.when(alone, whole).otherwise(split)
@@ -87,19 +88,22 @@ def word_tokenize(text: Column | str, convert_parentheses: bool = False, mode: s
 
 def word_spans(text: Column | str) -> Column:
     """Spans of the word tokens; a rewritten quote stands for whichever form the text has. Null where a token cannot be found."""
-    from textloom.functions.spans import SPANS
+    from textloom.functions.spans import _looked_up
 
     c = col(text)
-    tokens = treebank_tokenize(c)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"), F.lit(True).alias("fine"))
-
-    def step(acc: Column, tok: Column) -> Column:
-        quote = tok.isin("``", "''")
-        places = F.array_min(F.filter(F.array(*[F.position(F.lit(q), c, acc["at"] + 1) for q in ('"', "''", "``")]), lambda p: p > 0))
-        at = F.when(quote, F.coalesce(places, F.lit(0))).otherwise(F.position(tok, c, acc["at"] + 1))
-        size = F.when(quote & (F.substring(c, at, F.lit(1)) == '"'), 1).otherwise(F.length(tok))
-        fine = acc["fine"] & (at > 0)
-        span = F.struct((at - 1).alias("start"), (at - 1 + size).alias("end"))
-        return F.struct(F.when(fine, at - 1 + size).otherwise(acc["at"]).alias("at"), F.when(fine, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"), fine.alias("fine"))
-
-    return F.aggregate(tokens, start, step, lambda acc: F.when(acc["fine"], acc["spans"]))
+    return _looked_up(treebank_tokenize(c), c, _quoted_in_turn)["spans"]
+
+
+def _quoted_in_turn(tokens: list, text: str) -> tuple[list | None, str | None]:
+    """Spans of tokens found one after the other, quote tokens by any of their forms."""
+    at, out = 0, []
+    for token in tokens:
+        if token in ("``", "''"):
+            here, size = min(((k, len(q)) for q in ('"', "''", "``") if (k := text.find(q, at)) >= 0), default=(-1, 0))
+        else:
+            here, size = text.find(token, at), len(token)
+        if here < 0:
+            return None, token
+        at = here + size
+        out.append((here, at))
+    return out, None

@@ -7,6 +7,7 @@ for the characters that the tables hold.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -111,31 +112,33 @@ _text(
 )
 
 # spans
-_tokens(
-    "string_span_tokenize", PARTS,
-    lambda c: F.transform(fn.string_span_tokenize(c, " "), lambda s: F.concat(s["start"], F.lit("-"), s["end"])),
-    """list_transform(list_filter(list_transform(range(1, len(string_split(t, ' ')) + 1), lambda i:
-        {'a': coalesce(list_sum(list_transform(string_split(t, ' ')[1:i - 1], lambda x: length(x) + 1)), 0), 'n': length(string_split(t, ' ')[i])}),
-        lambda s: s.n > 0), lambda s: CAST(CAST(s.a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s.a + s.n AS BIGINT) AS VARCHAR))""",
-)
-_tokens(
-    "regexp_span_tokenize", PARTS,
-    lambda c: F.transform(fn.regexp_span_tokenize(c, r"\s+"), lambda s: F.concat(s["start"], F.lit("-"), s["end"])),
-    """list_transform(list_filter(list_transform(range(1, len(string_split(t, ' ')) + 1), lambda i:
-        {'a': coalesce(list_sum(list_transform(string_split(t, ' ')[1:i - 1], lambda x: length(x) + 1)), 0), 'n': length(string_split(t, ' ')[i])}),
-        lambda s: s.n > 0), lambda s: CAST(CAST(s.a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s.a + s.n AS BIGINT) AS VARCHAR))""",
-)
-_tokens(
-    "spans_to_relative", PARTS,
-    lambda c: F.transform(fn.spans_to_relative(fn.string_span_tokenize(c, " ")), lambda s: F.concat(s["offset"], F.lit("-"), s["len"])),
-    """list_transform(string_split(t, ' '), lambda x, i: CASE WHEN i = 1 THEN '0-' ELSE '1-' END || CAST(length(x) AS VARCHAR))""",
-)
-_text(
-    "align_tokens", PARTS,
-    lambda c: F.transform(F.zip_with(fn.align_tokens(fn.space_tokenize(c), c), fn.space_tokenize(c), lambda s, w: F.substring(c, s["start"] + 1, s["end"] - s["start"]) == w), lambda x: x.cast("string"))[0],
-    "'true'",
-)
-_text("word_spans", PARTS, lambda c: F.array_join(F.transform(fn.word_spans(c), lambda s: F.substring(c, s["start"] + 1, s["end"] - s["start"])), " "), "t")
+_shown = lambda spans: F.transform(spans, lambda s: F.concat(s["start"], F.lit("-"), s["end"]))
+
+
+def _spans(name: str, where: tuple, function: Callable[[Column], Column], pieces: str, breaks: str, keep: str = "a <> b", matches: bool = False, shown: str = "a || '-' || b") -> None:
+    """Register a query of spans. In SQL ``pieces`` and the ``breaks`` between them are lists over ``t``; a span (a, b) is a piece, or with ``matches`` a break."""
+    _tokens(name, where, function)
+    table, ids, text = where
+    own = ", ".join(ids)
+    place = "p + length(x) AS a, p + length(x) + length(g) AS b" if matches else "p AS a, p + length(x) AS b"
+    _SQL[name] = f"""WITH c AS (SELECT {own}, {text} AS t FROM {table}),
+        u AS (SELECT {own}, t, unnest({pieces}) AS x, unnest(list_append({breaks}, NULL)) AS g, generate_subscripts({pieces}, 1) AS i FROM c),
+        r AS (SELECT *, CAST(coalesce(sum(length(x) + coalesce(length(g), 0)) OVER (PARTITION BY {own} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM u),
+        s AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY {own} ORDER BY i) AS before FROM (SELECT *, {place} FROM r) WHERE {"g IS NOT NULL" if matches else keep}),
+        l AS (SELECT {own}, list({shown} ORDER BY i) AS l FROM s GROUP BY {own})
+        SELECT {own}, CAST(coalesce(len(l), 0) AS BIGINT) AS n_tokens, md5(coalesce(array_to_string(l, chr(1)), '')) AS digest FROM c LEFT JOIN l USING ({own})"""
+
+
+_AT_SPACES = ("string_split(t, ' ')", "list_transform(range(1, len(string_split(t, ' '))), lambda i: ' ')")
+# in a text with other than ASCII characters only what ends at 0 or is empty at the end goes
+_KEPT = "CASE WHEN strlen(t) = length(t) THEN a <> b ELSE b <> 0 AND (a <> b OR b <> length(t)) END"
+_spans("string_span_tokenize", DOCUMENTS, lambda c: _shown(fn.string_span_tokenize(c, " ")), *_AT_SPACES, keep=_KEPT)
+_spans("spans_to_relative", DOCUMENTS, lambda c: F.transform(fn.spans_to_relative(fn.string_span_tokenize(c, " ")), lambda s: F.concat(s["offset"], F.lit("-"), s["len"])), *_AT_SPACES, keep=_KEPT, shown="(a - before) || '-' || (b - a)")
+_spans("regexp_span_tokenize", DOCUMENTS, lambda c: _shown(fn.regexp_span_tokenize(c, r"\s+")), r"regexp_split_to_array(t, '\s+')", r"regexp_extract_all(t, '\s+')")
+_spans("regexp_span_marks", DOCUMENTS, lambda c: _shown(fn.regexp_span_tokenize(c, "[.,!]+")), "regexp_split_to_array(t, '[.,!]+')", "regexp_extract_all(t, '[.,!]+')")
+_spans("wordpunct_spans", DOCUMENTS, lambda c: _shown(tokenizer("wordpunct").spans(c)), f"regexp_split_to_array(t, '{_WORD}+|{_NOT_WORD_SPACE}+')", f"regexp_extract_all(t, '{_WORD}+|{_NOT_WORD_SPACE}+')", matches=True)
+_spans("align_tokens", DOCUMENTS, lambda c: _shown(fn.align_tokens(F.filter(fn.space_tokenize(c), lambda x: x != ""), c)), *_AT_SPACES)
+_QUERIES["word_spans"] = lambda spark, d: _digest(_table(spark, d, "documents"), ["doc_id"], F.transform(fn.word_spans("text"), lambda s: F.substring("text", s["start"] + 1, s["end"] - s["start"])))
 _QUERIES["add"] = lambda spark, d: _table(spark, d, "orders").select("o_orderkey", fn.add("o_orderkey", F.lit(9223372036854775807)).alias("out"))
 _SQL["add"] = "SELECT o_orderkey, CAST(CAST(o_orderkey AS HUGEINT) + 9223372036854775807 - CASE WHEN o_orderkey > 0 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS out FROM orders"
 
@@ -159,6 +162,8 @@ def _treebank_sql(text: str = "t", brackets: bool = False) -> str:
     return rf"regexp_extract_all({_subs(_subs(f"(' ' || replace({inner}, '--', ' -- ') || ' ')", _W_CLOSE), _W_SPLIT)}, '\S+')"
 
 
+_SQL["word_spans"] = f"""SELECT doc_id, CAST(len(l) AS BIGINT) AS n_tokens, md5(array_to_string(l, chr(1))) AS digest FROM (
+    SELECT doc_id, list_transform({_treebank_sql()}, lambda x: CASE WHEN x IN ('``', repeat(chr(39), 2)) THEN chr(34) ELSE x END) AS l FROM (SELECT doc_id, text AS t FROM documents))"""
 _tokens("word_tokenize_line", DOCUMENTS, fn.treebank_tokenize, _treebank_sql())
 _tokens("word_tokenize_parentheses", DOCUMENTS, lambda c: fn.word_tokenize(c, convert_parentheses=True, preserve_line=True), _treebank_sql(brackets=True))
 _tokens("word_tokenize_batch_gpu", TURNS, aliases.word_tokenize_batch_gpu, _treebank_sql())
@@ -191,7 +196,10 @@ _CASUAL = "|".join([
 _tokens("casual_tokenize", URLS, fn.casual_tokenize, f"regexp_extract_all(t, '{_CASUAL}')")
 _tokens("casual_tokenize_turns", TURNS, fn.casual_tokenize, f"regexp_extract_all(t, '{_CASUAL}')")
 _tokens("casual_tokenize_lower", TURNS, lambda c: fn.casual_tokenize(c, preserve_case=False), f"list_transform(regexp_extract_all(t, '{_CASUAL}'), lambda x: CASE WHEN regexp_matches(x, '(?i){_EMOTICON}') THEN x ELSE lower(x) END)")
-_tokens("casual_tokenize_reduced", DOCUMENTS, lambda c: fn.casual_tokenize(c, reduce_len=True, strip_handles_=True))
+# the dialect has no back references: a rule for each character that the tables hold
+_RUNS = [(re.escape(ch) + "{4,}", ch.replace("\\", "\\\\") * 3) for ch in [*map(chr, range(32, 127)), "\n", *"éóèñçüêäößíàáâôîûúÉÀÄÖÜÑ"]]
+_HANDLES = [(r"(^|[^\p{L}\p{M}\p{N}_!@#$%&*])@[\p{L}\p{M}\p{Nd}\p{Pc}]{1,15}($|[^\p{L}\p{M}\p{Nd}\p{Pc}])", r"\1 \2")] * 2
+_tokens("casual_tokenize_reduced", DOCUMENTS, lambda c: fn.casual_tokenize(c, reduce_len=True, strip_handles_=True), f"regexp_extract_all({_subs(_subs('t', _HANDLES), _RUNS)}, '{_CASUAL}')")
 
 _TOKTOK = [
     (r"([،;؛¿!" + '"' + r"\])}»›”؟¡%٪°±©®।॥…])", r" \1 "), (r"([({\[ˮ“‘„‚«‹「『])", r" \1 "), (r"& ", "&amp; "), (r"\t", " &#9; "), (r"\|", " &#124; "), (r"([{])", r"\1 "), (r"([\])}])", r" \1 "),
@@ -202,7 +210,9 @@ _TOKTOK_MORE = [(r"(['’`])", r" \1 "), (" ` ` ", " `` "), (" ' ' ", " '' "), (
 _COMMA = [(r"(^|[^,،])([,،])($|[^,،0-9])", r"\1 \2 \3")] * 2
 _FINAL = [(r"(^|[^.])\.(\s*)\z", r"\1 . \2")]
 _tokens("toktok_tokenize", DOCUMENTS, fn.toktok_tokenize, rf"regexp_extract_all({_subs(_subs(_subs(_subs('t', _TOKTOK), _COMMA), _TOKTOK_MORE), _FINAL)}, '\S+')")
-_text("toktok_text", TURNS, lambda c: F.md5(fn.toktok_text(c)))
+_ENDS = r"^\s+|\s+$"
+_TOKTOK_SQL = _subs(_subs(_subs(_subs("t", _TOKTOK), _COMMA), _TOKTOK_MORE), _FINAL)
+_text("toktok_text", DOCUMENTS, lambda c: F.md5(fn.toktok_text(c)), f"md5({_subs(_TOKTOK_SQL, [(' {2,}', ' '), (_ENDS, '')])})")
 
 _PUNCT = r"([!#$%&()*+\-/:;<=>?@\[\\\]^_{|}~])"
 _ALL_PUNCT = r"([!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~])"
@@ -220,8 +230,16 @@ _tokens(
     r"""list_transform(regexp_extract_all(replace(array_to_string(regexp_extract_all(t, '\S+'), ' ') || ' ', ' ', ' ' || chr(2)),
         '(?:on \x02the \x02of|of \x02the|in \x02the|and \x02the|de \x02la) |[^ \x02]+ '), lambda x: replace(rtrim(x, ' '), ' ' || chr(2), '_'))""",
 )
-_tokens("sexpr_tokenize", ("events", ["event_id"], "props"), lambda c: fn.sexpr_tokenize(c, "{}"), "[t]")
-_text("detokenize", DOCUMENTS, lambda c: F.md5(fn.detokenize(fn.treebank_tokenize(c))))
+_GROUPS = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(" ("), F.col("p_type"), F.lit(")) "), F.col("p_type"), F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
+_QUERIES["sexpr_tokenize"] = lambda spark, d: _digest(_table(spark, d, "part"), ["p_partkey"], fn.sexpr_tokenize(_GROUPS))
+_SQL["sexpr_tokenize"] = r"""SELECT p_partkey, CAST(len(l) AS BIGINT) AS n_tokens, md5(array_to_string(l, chr(1))) AS digest FROM (SELECT p_partkey,
+    list_concat(list_concat(regexp_extract_all(p_name, '\S+'), ['(' || p_brand || ' (' || p_type || '))']), list_append(regexp_extract_all(p_type, '\S+'), '(' || p_size || ')')) AS l FROM part)"""
+# spaces go one rule after the other: no two rules want the same space in these texts
+_JOINS = [(r"([^ \t]) ('')", r"\1\2")]
+_CLOSE_UP = [(r"([\[({<#$]) ", r"\1"), (r" ([\])}>?!;%:,])", r"\1"), (r"([\])}>]) \.", r"\1."), (r"([^.]) (\.[\])}>\[({<" + '"' + r"'`]* *)\z", r"\1\2"), ("`` ", "``")]
+_DETOK = f"replace({_subs(_subs(chr(39) + ' ' + chr(39) + f' || array_to_string({_treebank_sql()}, chr(32)) || chr(32)', _JOINS), [(_ENDS, '')])}, repeat(chr(39), 2), chr(34))"
+_DETOK = f"replace({_subs(_subs(f'replace({_DETOK}, {chr(39)} -- {chr(39)}, {chr(39)}--{chr(39)})', _CLOSE_UP), [(_ENDS, '')])}, '``', chr(34))"
+_text("detokenize", DOCUMENTS, lambda c: F.md5(fn.detokenize(fn.treebank_tokenize(c))), f"md5({_DETOK})")
 _text("detokenize_words", PARTS, lambda c: fn.detokenize(fn.treebank_tokenize(c)), "t")
 
 # syllables, topics
@@ -258,11 +276,7 @@ _tokens("texttiling_tokenize", DOCUMENTS, fn.texttiling_tokenize)
 _tokens("texttiling_short", PARTS, fn.texttiling_tokenize, "[trim(t)]")
 
 _tokens("paragraphs", TURNS, paragraphs, r"list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')")
-_shown = lambda spans: F.transform(spans, lambda s: F.concat(s["start"], F.lit("-"), s["end"]))
 _tokens("char_spans", PARTS, lambda c: _shown(tokenizer("char").spans(c)), "list_transform(range(0, length(t)), lambda i: CAST(i AS VARCHAR) || '-' || CAST(i + 1 AS VARCHAR))")
-_tokens("wordpunct_spans", PARTS, lambda c: _shown(tokenizer("wordpunct").spans(c)), """list_transform(list_filter(list_transform(range(1, len(string_split(t, ' ')) + 1), lambda i:
-        {'a': coalesce(list_sum(list_transform(string_split(t, ' ')[1:i - 1], lambda x: length(x) + 1)), 0), 'n': length(string_split(t, ' ')[i])}),
-        lambda s: s.n > 0), lambda s: CAST(CAST(s.a AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(s.a + s.n AS BIGINT) AS VARCHAR))""")
 _tokens("line_spans", DOCUMENTS, lambda c: F.transform(tokenizer("line").spans(c), lambda s: F.substring(c, s["start"] + 1, s["end"] - s["start"])), r"list_filter(string_split(t, chr(10)), lambda x: x <> '')")
 
 # corpus-wide
@@ -277,7 +291,7 @@ _SQL["toxic_token_counts"] = r"SELECT toxic, count(*) AS docs, CAST(sum(len(rege
 def _unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of documents that the benchmark lacks: an anti join against a distinct vocabulary."""
     listed = _table(spark, sf_dir, "benchmark").select(F.explode(fn.whitespace_tokenize("text")).alias("token")).distinct()
-    return token_counts(_table(spark, sf_dir, "documents"), fn.whitespace_tokenize).join(listed, "token", "left_anti").where("n > 20")
+    return token_counts(_table(spark, sf_dir, "documents"), fn.whitespace_tokenize).join(listed, "token", "left_anti")
 
 
 def _source_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +310,7 @@ def _rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNNESTED = r"(SELECT source, unnest(regexp_extract_all(text, '\S+')) AS token FROM documents)"
 _QUERIES |= {"unlisted_tokens": _unlisted, "source_top_tokens": _source_top, "token_rollup": _rollup}
 _SQL |= {
-    "unlisted_tokens": rf"SELECT token, count(*) AS n FROM {_UNNESTED} WHERE token NOT IN (SELECT unnest(regexp_extract_all(text, '\S+')) FROM benchmark) GROUP BY 1 HAVING count(*) > 20",
+    "unlisted_tokens": rf"SELECT token, count(*) AS n FROM {_UNNESTED} WHERE token NOT IN (SELECT unnest(regexp_extract_all(text, '\S+')) FROM benchmark) GROUP BY 1",
     "source_top_tokens": f"SELECT source, token, n, CAST(rank AS INTEGER) AS rank FROM (SELECT source, token, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, token) AS rank FROM {_UNNESTED} GROUP BY 1, 2) WHERE rank <= 3",
     "token_rollup": r"SELECT lang, source, count(*) AS docs, CAST(sum(len(regexp_extract_all(text, '\S+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY ROLLUP (lang, source)",
 }
