@@ -230,8 +230,15 @@ _tokens(
     r"""list_transform(regexp_extract_all(replace(array_to_string(regexp_extract_all(t, '\S+'), ' ') || ' ', ' ', ' ' || chr(2)),
         '(?:on \x02the \x02of|of \x02the|in \x02the|and \x02the|de \x02la) |[^ \x02]+ '), lambda x: replace(rtrim(x, ' '), ' ' || chr(2), '_'))""",
 )
-_GROUPS = F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(" ("), F.col("p_type"), F.lit(")) "), F.col("p_type"), F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
-_QUERIES["sexpr_tokenize"] = lambda spark, d: _digest(_table(spark, d, "part"), ["p_partkey"], fn.sexpr_tokenize(_GROUPS))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, nested groups and a group that follows a word at once."""
+    text = F.format_string("%s (%s (%s)) %s(%d)", "p_name", "p_brand", "p_type", "p_type", "p_size")
+    return _digest(_table(spark, sf_dir, "part"), ["p_partkey"], fn.sexpr_tokenize(text))
+
+
+_QUERIES["sexpr_tokenize"] = _groups
 _SQL["sexpr_tokenize"] = r"""SELECT p_partkey, CAST(len(l) AS BIGINT) AS n_tokens, md5(array_to_string(l, chr(1))) AS digest FROM (SELECT p_partkey,
     list_concat(list_concat(regexp_extract_all(p_name, '\S+'), ['(' || p_brand || ' (' || p_type || '))']), list_append(regexp_extract_all(p_type, '\S+'), '(' || p_size || ')')) AS l FROM part)"""
 # spaces go one rule after the other: no two rules want the same space in these texts
