@@ -4,7 +4,8 @@ from array import array
 import pytest
 import sentencepiece
 
-from textloom.llm.pieces import Transducer, encoded, load
+from textloom.llm import pieces
+from textloom.llm.pieces import MARK, Transducer, encoded, load
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 TEXTS = ["", " ", "a", "  two  spaces ", "Hello world.\nNext line", "café naïve Été ñandú", "漢字 and 😀🚀​", "tab\tand\r\n", "<s> </s> <0x41> <unk>", "▁x ▁", "nul\x00in", "aaaaaaaaaaaaaaaaaaaaa", "x" * 3000, " " * 40 + "end" + " " * 17, "The the THE unbelievable antidisestablishmentarianism!!! ... --- 12345.67"]
@@ -40,3 +41,20 @@ def test_frame(spark, both):
     assert all(r["exact"] for r in got.values() if r["n_pieces"] is not None and "▁" not in rows[r["doc_id"]][1])
     assert got[0]["n_pieces"] == 0 and got[len(TEXTS)]["pieces"] is None and got[len(TEXTS) + 1]["pieces"] == got[4]["pieces"]
     assert encoded(df.limit(0), both[0], digest=True).count() == 0
+
+
+def test_caches_are_bounded(both, monkeypatch):
+    fst, library = both
+    text = " ".join(f"word{k} café{k}" for k in range(300))
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 5000)
+    monkeypatch.setattr(pieces, "PAIRS", 50)
+    fst.words.clear()
+    fst.words.held = 0
+    assert list(fst.encode(text + " " + "x" * 3000)) == library.encode(text + " " + "x" * 3000)
+    assert fst.words.held <= 5000 and len(fst.words) < 30 and fst.known_pairs <= 50
+    assert all(len(fst.words.path(w)) for w in ("a", MARK, "漢"))
+
+
+def test_normaliser_is_a_machine():
+    squeeze = pieces.Normaliser(" ", {ord(MARK): " "}, True)
+    assert squeeze("  a▁ b  ") == " a b" and squeeze("   ") == "" and pieces.Normaliser("", {}, False)(" a ") == " a "

@@ -1,20 +1,20 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from a model file. The normaliser rewrites the text
-(space marks, the leading mark, outer and repeated spaces). The lexicon maps a run of characters to a piece,
-and a character in no piece to its bytes. A third machine weighs each pair of
+Three machines are compiled from a model file. The normaliser rewrites characters
+(space marks, the leading mark, outer and repeated spaces). The lexicon is a tree of arcs, one for each
+character, that gives a piece at its final states; a character that is no piece goes through the
+byte fallback instead. The third machine weighs each pair of
 neighbouring pieces: in a unigram model the piece's negative score; in a merge model
 (BPE) zero if merging the two pieces' characters by the model's ranks gives just
 these two, otherwise infinity. A sequence all of whose neighbours pass is
 the one that merging the whole text gives: were it not, the first merge across one of
 its borders would also happen in the two pieces alone. Encoding composes the
 machines with the input, lazily, and takes the shortest path in the tropical semiring
-(minimum, plus). States are (place, last piece).
+(minimum, plus). States are (place, state of the lexicon, last piece).
 
-In a merge model the pair machine leaves one state alive at each place: the last piece of
-the text so far. No piece may hold a space mark after another character, so words compose
+No piece may hold a space mark after another character, so words compose
 on their own, and each worker keeps the paths of the words it has seen over
-all its tasks, up to ``CACHE`` of them.
+all its tasks, up to ``CACHE_BYTES`` of them, and up to ``PAIRS`` weights of pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import bounded_batches
 
-MARK, CACHE = "▁", 1_000_000
+MARK, CACHE_BYTES, PAIRS = "▁", 128 << 20, 2_000_000
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 INF = float("inf")
 
@@ -64,20 +64,41 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Paths(dict):
-    """Packed ids of words, found when first asked for."""
+    """Packed ids of words, found when first asked for; all are forgotten once they take ``CACHE_BYTES``."""
 
     def __init__(self, path) -> None:
         super().__init__()
-        self.path = path
+        self.path, self.held = path, 0
 
     def __missing__(self, word: str) -> bytes:
         found = array("i", self.path(word.replace(" ", MARK))).tobytes()
-        if len(self) >= CACHE:
+        size = 200 + 4 * len(word) + len(found)
+        if self.held + size > CACHE_BYTES:
             self.clear()
-        self[word] = found
+            self.held = 0
+        if size <= CACHE_BYTES:
+            self[word] = found
+            self.held += size
         return found
 
 
+@dataclass
+class Normaliser:
+    """The machine in front: an arc that writes ``lead`` before the first character, arcs that
+    rewrite single characters, and with ``squeeze`` a state that passes one space of a run inside the text and none outside.
+    All other arcs copy their character, so whole runs of them go through at once."""
+
+    lead: str
+    arcs: dict[int, str]
+    squeeze: bool
+
+    def __call__(self, text: str) -> str:
+        text = text.translate(self.arcs)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        return self.lead + text if text else text
+
+
 @dataclass
 class Transducer:
     """A compiled model; ``ids`` has the pieces that text can match."""
@@ -93,10 +114,20 @@ class Transducer:
 
     def __post_init__(self) -> None:
         self.ids = {n: k for k, (n, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind in (NORMAL, DEFINED)}
-        self.longest = max(map(len, self.ids), default=1)
-        # the lexicon as a tree: what starts a piece, with its id where it is one
-        self.tree = {n[:k]: -1 for n in self.ids for k in range(1, len(n))} | self.ids
-        self.words = Paths(self.merge_path if self.merges else self.path)
+        self.normalised = Normaliser(" " if self.dummy_prefix else "", {ord(MARK): " "}, self.trim)
+        # the lexicon: arcs of each state by character, and the piece of each state or -1
+        self.arcs, self.final = [{}], [-1]
+        for name, piece in self.ids.items():
+            node = 0
+            for ch in name:
+                if ch not in self.arcs[node]:
+                    self.arcs[node][ch] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append(-1)
+                node = self.arcs[node][ch]
+            self.final[node] = piece
+        self.known_pairs, self.words = 0, Paths(self.path)
+        self.fallback = 1.0 if self.merges else 10.0 - min(self.scores, default=0.0)
         self.key = hashlib.md5(repr((self.names, self.scores)).encode()).hexdigest()
         self.bytes_ = {int(n[3:5], 16): k for k, (n, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind == BYTE}
         self.unknown = next((k for k, kind in enumerate(self.kinds) if kind == UNKNOWN), None)
@@ -127,81 +158,57 @@ class Transducer:
         """Weight of ``piece`` after ``last`` (-1: none, or one that came from bytes)."""
         if not self.merges:
             return -self.scores[piece]
+        if self.known_pairs >= PAIRS:
+            self.pairs.clear()
+            self.known_pairs = 0
         row = self.pairs.setdefault(last, {})
         known = row.get(piece)
         if known is None:
             names = ([self.names[last]] if last >= 0 else []) + [self.names[piece]]
             known = row[piece] = 0.0 if self.merged("".join(names)) == names else INF
+            self.known_pairs += 1
         return known
 
-    def merge_path(self, word: str) -> list[int]:
-        """``path`` of a merge model: the one state of each place goes forward over the pieces that its pairs allow."""
-        n, tree, pairs = len(word), self.tree, self.pairs
-        last, came = [None] * (n + 1), [0] * (n + 1)
-        last[0] = -1
-        for at in range(n):
-            own = last[at]
-            if own is None:
-                continue
-            row = pairs.get(own)
-            if row is None:
-                row = pairs[own] = {}
-            for end in range(at + 1, n + 1):
-                piece = tree.get(word[at:end])
-                if piece is None:
-                    if end == at + 1:
-                        last[end], came[end] = -1, at
-                    break
-                if piece < 0:
-                    continue
-                known = row.get(piece)
-                if known is None:
-                    known = self.weight(own, piece)
-                if known == 0.0:
-                    last[end], came[end] = piece, at
-            if last[at + 1] is None and word[at] not in self.ids:  # starts pieces, but is none
-                last[at + 1], came[at + 1] = -1, at
-        out: list[int] = []
-        at = n
-        while at > 0:
-            if last[at] >= 0:
-                out.append(last[at])
-            else:
-                out.extend(self.outside(word[came[at] : at])[::-1])
-            at = came[at]
-        return out[::-1]
-
     def outside(self, text: str) -> list[int]:
         """Ids of a character in no piece: its bytes, or the unknown piece."""
         return [self.bytes_[b] for b in text.encode("utf-8", "replace")] if self.bytes_ else [self.unknown]
 
     def path(self, word: str) -> list[int]:
-        """The shortest path through one word's composition: its piece ids."""
-        rare = min(self.scores, default=0.0) - 10.0 if not self.merges else -1.0
-        states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(word) + 1)]
-        states[0][-1] = (0.0, -1, -1)
-        n = len(word)
+        """The shortest path through one word's composition: its piece ids.
+
+        ``best[place]`` has, for each last piece, the least weight of a path there and where it came from.
+        """
+        n, arcs, final, pairs, none = len(word), self.arcs, self.final, self.pairs, {}
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+        best[0][-1] = (0.0, -1, -1)
         for at in range(n):
-            here = states[at]
+            here = best[at].items()
             if not here:
                 continue
-            for end in range(at + 1, min(n, at + self.longest) + 1):
-                piece = self.ids.get(word[at:end])
-                if piece is None:
+            node, covered = 0, False
+            for end in range(at, n):
+                node = arcs[node].get(word[end])
+                if node is None:
+                    break
+                piece = final[node]
+                if piece < 0:
                     continue
-                there = states[end]
-                for last, (cost, _, _) in here.items():
-                    total = cost + self.weight(last, piece)
-                    if total < INF and total < there.get(piece, (INF,))[0]:
-                        there[piece] = (total, at, last)
-            if word[at] not in self.ids:
-                last, (cost, _, _) = min(here.items(), key=lambda x: x[1][0])
-                if cost - rare < states[at + 1].get(-1, (INF,))[0]:
-                    states[at + 1][-1] = (cost - rare, at, last)
+                covered |= end == at
+                there = best[end + 1]
+                for last, (cost, _, _) in here:
+                    more = pairs.get(last, none).get(piece)
+                    if more is None:
+                        more = self.weight(last, piece)
+                    if more < INF and (piece not in there or cost + more < there[piece][0]):
+                        there[piece] = (cost + more, at, last)
+            if not covered:
+                last, (cost, _, _) = min(here, key=lambda x: x[1][0])
+                if cost + self.fallback < best[at + 1].get(-1, (INF,))[0]:
+                    best[at + 1][-1] = (cost + self.fallback, at, last)
         out: list[int] = []
-        at, last = n, min(states[n], key=lambda k: states[n][k][0])
+        at, last = n, min(best[n], key=lambda k: best[n][k][0])
         while at > 0:
-            _, before, previous = states[at][last]
+            _, before, previous = best[at][last]
             if last >= 0:
                 out.append(last)
             else:
@@ -209,12 +216,6 @@ class Transducer:
             at, last = before, previous
         return out[::-1]
 
-    def normalised(self, text: str) -> str:
-        text = text.replace(MARK, " ")
-        if self.trim:
-            text = re.sub(" +", " ", text.strip(" "))
-        return " " + text if self.dummy_prefix and text else text
-
     def encode(self, text: str) -> array:
         """Piece ids of a text."""
         out = array("i")
