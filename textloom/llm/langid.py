@@ -226,13 +226,17 @@ def _windows(count: int):
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL, **options) -> Network | None:
     """A network trained on ``usable`` rows with a language: of each, ``WINDOWS`` windows of ``per_label`` documents at most.
 
-    None if there are none. Documents are drawn by the hash of their id.
+    None if there are none. Documents are drawn by the hash of their id: those of the smallest hashes, of which a bound leaves
+    ten standard deviations more than ``per_label`` to be ranked.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("label").orderBy("mark", "id")
     marked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.xxhash64(id_col).alias("mark"))
-    drawn = marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id", "label")
+    # the marks of a label are spread evenly: those below a bound are some more than are wanted, and few enough to rank
+    share = (per_label + 10 * per_label**0.5 + 50) / F.col("n")
+    few = marked.join(marked.groupBy("label").agg(F.count("*").alias("n")), "label").where(F.col("mark") / F.lit(2.0**64) + 0.5 < share)
+    order = Window.partitionBy("label").orderBy("mark", "id")
+    drawn = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id", "label")
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     drawn = written(drawn, "drawn")
     small = drawn.count() <= BROADCAST_ROWS
