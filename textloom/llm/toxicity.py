@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import bounded_batches
+from textloom.llm.shared import bounded_batches, written
 
 MAX_DOCS, PRIOR, SURE, COST, LEAST = 20_000, 0.05, 2.5, 0.7, 0.05
 _SIEVE = 22
@@ -185,16 +185,32 @@ def _spread(model: Model):
     return run
 
 
-def feature_odds(toxic: np.ndarray, clean: np.ndarray, prior: float) -> np.ndarray:
-    """Log-odds under a Dirichlet prior of ``prior`` times the counts of both classes, 0 within ``SURE`` standard deviations."""
+def feature_odds(toxic: np.ndarray, clean: np.ndarray, prior: float, totals: tuple[float, float]) -> np.ndarray:
+    """Log-odds under a Dirichlet prior of ``prior`` times the counts of both classes, 0 within ``SURE`` standard deviations.
+
+    ``totals`` are the counts of all features in each class.
+    """
     alpha = prior * (toxic + clean)
     t, c = toxic + alpha, clean + alpha
-    odds = np.log(t / max(1e-9, t.sum())) - np.log(c / max(1e-9, c.sum()))
+    spare = prior * sum(totals)
+    odds = np.log(t / max(1e-9, totals[0] + spare)) - np.log(c / max(1e-9, totals[1] + spare))
     spread = np.sqrt(1 / t + 1 / c)
     # multiples of 2**-12: sums of them are exact, in whatever order texts are read
     return np.round(np.where(np.abs(odds) > SURE * spread, odds, 0.0) * 4096) / 4096
 
 
+def _told(prior: float, totals: tuple[float, float]):
+    """(key, odds) of the features whose odds are not 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odds = feature_odds(*(batch.column(k).to_numpy().astype(float) for k in (1, 2)), prior, totals)
+            held = np.flatnonzero(odds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held)), pa.array(odds[held])], ["key", "odds"])
+
+    return run
+
+
 def _positive_root(scores: np.ndarray, weights: np.ndarray) -> float:
     """L > 0 with ``E[exp(L s)] = 1``, by bisection; the mean must be negative."""
     weights = weights / weights.sum()
@@ -236,13 +252,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     known = labels.where(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "label")
-    counted = texts.mapInArrow(_counts, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    keys = counted["key"].to_numpy().view(np.uint64)
-    toxic, clean = counted["toxic"].to_numpy(), counted["clean"].to_numpy()
+    texts = written(texts, "sample")
+    counted = written(texts.mapInArrow(_counts, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "features")
+    totals = tuple(float(x or 0) for x in counted.agg(F.sum("toxic"), F.sum("clean")).first())
+    # only features that tell the classes apart leave the workers
+    told = counted.mapInArrow(_told(prior, totals), "key long, odds double").toArrow().sort_by("key")
+    keys, odds, cost = told["key"].to_numpy().view(np.uint64), told["odds"].to_numpy(), round(cost * 4096) / 4096
     order = np.argsort(keys)
-    keys, toxic, clean = keys[order], toxic[order], clean[order]
-    odds, cost = feature_odds(toxic, clean, prior), round(cost * 4096) / 4096
-    model = Model(keys[odds != 0], odds[odds != 0], cost)
+    model = Model(keys[order], odds[order], cost)
     spread = texts.where("label = 0").select("text").mapInArrow(_spread(model), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toArrow()
     if spread.num_rows:
         model.rate = _positive_root(spread["score"].to_numpy(), spread["n"].to_numpy().astype(float))
