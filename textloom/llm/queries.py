@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _fold(n: int) -> Column:
-    """crc32 of the id's digits, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """crc32 of the id's digits (none of a null id), modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.kneser_ney import fit, scored
 
     docs = _table(spark, sf_dir, "documents")
-    out = scored(docs, fit(docs.where(F.coalesce(_fold(7) != 2, F.lit(True)))))
+    out = scored(docs, fit(docs.where(_fold(7) != 2)))
     return out.select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
