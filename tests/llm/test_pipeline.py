@@ -50,6 +50,26 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_stages_with_other_columns_and_without_rows(spark, tmp_path):
+    """Names that the stages use inside come through unchanged; a table without rows gives none."""
+    others = ["_key", "times", "_copies", "n_removed", "score", "id", "bucket", "c1", "place", "Size"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in others)
+    texts = [f"the quick number {k} went over a hill and saw the river below it while {k * 7} others did not." for k in range(40)]
+    rows = [(k, t, "aa" if k % 3 else "bb", None if k % 5 == 0 else "s", len(t), *(f"{c}{k}" for c in others)) for k, t in enumerate(texts)]
+    rows += [(None, texts[3], "aa", None, None, *[None] * len(others)), (7, None, None, None, None, *[None] * len(others)), rows[9]]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+        got = out.collect()
+        assert got or name == "language"
+        if name != "pieces":
+            assert out.columns == [*DOCUMENT, *others]
+            assert all(r["doc_id"] is None or r["text"] is None or [r[c] for c in others] == [f"{c}{r['doc_id']}" for c in others] for r in got)
+        else:
+            assert [r["pieces"] for r in got if r["n_pieces"] is None] == [None]
+        none = stage(spark, spark.createDataFrame([], schema), str(tmp_path))
+        assert none.columns == out.columns and none.collect() == []
+
+
 def test_kernel_words_and_slices():
     import numpy as np
     import pyarrow as pa

@@ -57,15 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, lengthened until no column of ``df`` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def packed(df: DataFrame) -> DataFrame:
     """The rows in at most four tasks for each core of the cluster, without a shuffle: for tables of
     links, which are small beside the texts, so that many partitions of few rows cost no tasks of their own."""
     return df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism))
 
-
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import textkernel as tk
-from textloom.llm.shared import bounded_batches, written
+from textloom.llm.shared import bounded_batches, free_name, written
 
 MIN_WORDS = 20
 _ENDS, _CLOSES = np.zeros(256, bool), np.zeros(256, bool)
@@ -121,16 +121,17 @@ def _cut(min_words: int, at_text: int):
     return run
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a long ``_key`` of its own for each row, in the order of ids (nulls last, then by text).
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with a long key of its own for each row behind its columns, and the name of the key, which no column has.
 
-    Where ids are distinct they are the keys and nothing moves.
+    Keys are in the order of ids (nulls last, then by text). Where ids are distinct they are the keys and nothing moves.
     """
+    key = free_name(docs, "_key")
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     if ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").isEmpty():
-        return docs.withColumn("_key", F.col(id_col).cast("long"))
+        return docs.withColumn(key, F.col(id_col).cast("long")), key
     ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(F.col(text_col)))
-    return written(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    return written(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -142,8 +143,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the later ones lose what the first one has. A table without rows gives none.
     """
     bounded_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
-    text = rows.select(F.col("_key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows, key = keyed(docs, id_col, text_col)
+    text = rows.select(F.col(key).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     runs = text.mapInArrow(_runs(min_words), "hash long, key long, place int")
     repeated = runs.where("hash is not null").groupBy("hash").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
     later = runs.where("hash is not null").join(repeated, "hash").where("key <> first").select("key", "place").unionByName(runs.where("hash is null").select("key", "place"))
