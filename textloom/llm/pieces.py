@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import bounded_batches
 
-MARK, CACHE_BYTES, PAIRS = "▁", 128 << 20, 2_000_000
+MARK, CACHE_BYTES, PAIRS = "▁", 256 << 20, 2_000_000
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 INF = float("inf")
 
@@ -115,17 +115,13 @@ class Transducer:
     def __post_init__(self) -> None:
         self.ids = {n: k for k, (n, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind in (NORMAL, DEFINED)}
         self.normalised = Normaliser(" " if self.dummy_prefix else "", {ord(MARK): " "}, self.trim)
-        # the lexicon: arcs of each state by character, and the piece of each state or -1
-        self.arcs, self.final = [{}], [-1]
+        # the lexicon: a state's arcs by character, and under "" its piece, if it has one
+        self.root: dict = {}
         for name, piece in self.ids.items():
-            node = 0
+            node = self.root
             for ch in name:
-                if ch not in self.arcs[node]:
-                    self.arcs[node][ch] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(-1)
-                node = self.arcs[node][ch]
-            self.final[node] = piece
+                node = node.setdefault(ch, {})
+            node[""] = piece
         self.known_pairs, self.words = 0, Paths(self.path)
         self.fallback = 1.0 if self.merges else 10.0 - min(self.scores, default=0.0)
         self.key = hashlib.md5(repr((self.names, self.scores)).encode()).hexdigest()
@@ -155,19 +151,16 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def weight(self, last: int, piece: int) -> float:
-        """Weight of ``piece`` after ``last`` (-1: none, or one that came from bytes)."""
-        if not self.merges:
-            return -self.scores[piece]
+        """Weight of ``piece`` after ``last`` (-1: none, or one that came from bytes, or any in a unigram model)."""
         if self.known_pairs >= PAIRS:
             self.pairs.clear()
             self.known_pairs = 0
         row = self.pairs.setdefault(last, {})
-        known = row.get(piece)
-        if known is None:
+        if piece not in row:
             names = ([self.names[last]] if last >= 0 else []) + [self.names[piece]]
-            known = row[piece] = 0.0 if self.merged("".join(names)) == names else INF
+            row[piece] = -self.scores[piece] if not self.merges else 0.0 if self.merged("".join(names)) == names else INF
             self.known_pairs += 1
-        return known
+        return row[piece]
 
     def outside(self, text: str) -> list[int]:
         """Ids of a character in no piece: its bytes, or the unknown piece."""
@@ -176,41 +169,46 @@ class Transducer:
     def path(self, word: str) -> list[int]:
         """The shortest path through one word's composition: its piece ids.
 
-        ``best[place]`` has, for each last piece, the least weight of a path there and where it came from.
+        ``best[place]`` has, for each state of the pair machine, the least weight of a path there, where it came from, and its last piece.
+        The states of a merge model are pieces; a unigram model has the one state -1, as has what came from bytes.
         """
-        n, arcs, final, pairs, none = len(word), self.arcs, self.final, self.pairs, {}
-        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        best[0][-1] = (0.0, -1, -1)
+        n, pairs, merges = len(word), self.pairs, self.merges
+        best: list[dict[int, tuple[float, int, int, int]] | None] = [None] * (n + 1)
+        best[0] = {-1: (0.0, -1, -1, -1)}
         for at in range(n):
-            here = best[at].items()
-            if not here:
+            here = best[at]
+            if here is None:
                 continue
-            node, covered = 0, False
-            for end in range(at, n):
-                node = arcs[node].get(word[end])
-                if node is None:
-                    break
-                piece = final[node]
-                if piece < 0:
-                    continue
-                covered |= end == at
-                there = best[end + 1]
-                for last, (cost, _, _) in here:
-                    more = pairs.get(last, none).get(piece)
+            for last, (cost, _, _, _) in here.items():
+                row, node = pairs.get(last) or {}, self.root
+                for end in range(at, n):
+                    node = node.get(word[end])
+                    if node is None:
+                        break
+                    piece = node.get("")
+                    if piece is None:
+                        continue
+                    more = row.get(piece)
                     if more is None:
                         more = self.weight(last, piece)
-                    if more < INF and (piece not in there or cost + more < there[piece][0]):
-                        there[piece] = (cost + more, at, last)
-            if not covered:
-                last, (cost, _, _) = min(here, key=lambda x: x[1][0])
-                if cost + self.fallback < best[at + 1].get(-1, (INF,))[0]:
-                    best[at + 1][-1] = (cost + self.fallback, at, last)
+                    if more == INF:
+                        continue
+                    state, there = piece if merges else -1, best[end + 1]
+                    if there is None:
+                        best[end + 1] = {state: (cost + more, at, last, piece)}
+                    elif state not in there or cost + more < there[state][0]:
+                        there[state] = (cost + more, at, last, piece)
+            if word[at] not in self.ids:
+                last, cost = min(((k, x[0]) for k, x in here.items()), key=lambda x: x[1])
+                there = best[at + 1] = best[at + 1] or {}
+                if -1 not in there or cost + self.fallback < there[-1][0]:
+                    there[-1] = (cost + self.fallback, at, last, -1)
         out: list[int] = []
         at, last = n, min(best[n], key=lambda k: best[n][k][0])
         while at > 0:
-            _, before, previous = best[at][last]
-            if last >= 0:
-                out.append(last)
+            _, before, previous, piece = best[at][last]
+            if piece >= 0:
+                out.append(piece)
             else:
                 out.extend(self.outside(word[before:at])[::-1])
             at, last = before, previous
