@@ -22,7 +22,7 @@ from textloom.llm.shared import bounded_batches, written
 
 CHUNK, HIDDEN, PER_LABEL, WINDOWS, STEPS, RATE = 64, 8, 1500, 4, 500, 0.02
 UNKNOWN = "und"
-#: Drawn rows are broadcast up to this number (some 40 MB), else joined by shuffle.
+#: Labels and drawn rows are broadcast up to this number (some 40 MB), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -234,7 +234,8 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     marked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.xxhash64(id_col).alias("mark"))
     # the marks of a label are spread evenly: those below a bound are some more than are wanted, and few enough to rank
     share = (per_label + 10 * per_label**0.5 + 50) / F.col("n")
-    few = marked.join(marked.groupBy("label").agg(F.count("*").alias("n")), "label").where(F.col("mark") / F.lit(2.0**64) + 0.5 < share)
+    counts = written(marked.groupBy("label").agg(F.count("*").alias("n")), "labels")
+    few = marked.join(F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts, "label").where(F.col("mark") / F.lit(2.0**64) + 0.5 < share)
     order = Window.partitionBy("label").orderBy("mark", "id")
     drawn = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_label).select("id", "label")
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
