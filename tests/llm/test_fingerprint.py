@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from textloom.llm.fingerprint import anchors, edited, fingerprints, likeness, render
+import numpy as np
+
+from textloom.llm.fingerprint import anchors, anchors_of, edited, fingerprints, likeness, matched, render, rendered
 
 SCHEMA = "doc_id long, text string, part string, closing long"
 
@@ -58,3 +60,69 @@ def test_long_texts_keep_every_anchor():
     repeated = anchors(b"the same words again. " * 3000)
     assert repeated[1][-1] > 65_900 and len(repeated[0]) > 4000
     assert render(*anchors(a)) == " ".join(f"{h:08x}:{p:x}" for h, p in zip(*(v.tolist() for v in anchors(a)), strict=True))
+
+
+def naive(text, k=12, s=4):
+    """Closed syncmers, window by window: the places where the least inner substring, by the same hash, is at an edge."""
+    mask = (1 << 64) - 1
+    led = b"\x02" * (k - 1) + text if text else b""
+
+    def rank(part):
+        x = int.from_bytes(part, "big") * 0x9E3779B97F4A7C15 & mask
+        return (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask
+
+    places = []
+    for p in range(len(led) - k + 1):
+        inner = [rank(led[p + j : p + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            places.append(max(0, p - (k - 1)))
+    return places
+
+
+def test_anchors_equal_brute_force_in_any_company():
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"abc \n\xc3\xa9") for _ in range(n)) for n in (0, 1, 3, 4, 11, 12, 13, 200, 0, 900)]
+    together = anchors_of(texts)
+    assert [places.tolist() for _, places in together] == [naive(t) for t in texts]
+    for text, (hashes, places) in zip(texts, together, strict=True):
+        alone = anchors(text)
+        assert alone[0].tolist() == hashes.tolist() and alone[1].tolist() == places.tolist()
+    assert anchors_of([]) == [] and rendered(together) == [render(*a) for a in together]
+    windows: dict = {}
+    for text, (hashes, places) in zip(texts, together, strict=True):
+        for h, p in zip(hashes.tolist(), places.tolist(), strict=True):
+            windows.setdefault(h, set()).add(text[p : p + 12] if p else None)
+    assert all(len(w) == 1 for w in windows.values())
+
+
+def test_matched_equals_brute_force():
+    """The longest common rising run of numbered occurrences, by the quadratic recurrence."""
+    rng = random.Random(8)
+
+    def number(row):
+        seen: dict = {}
+        out = []
+        for v in row:
+            seen[v] = seen.get(v, 0) + 1
+            out.append((v, seen[v]))
+        return out
+
+    for _ in range(300):
+        x, y = ([rng.randrange(rng.choice([2, 6, 50])) for _ in range(rng.randrange(0, 25))] for _ in range(2))
+        if rng.random() < 0.5:
+            y = x[: rng.randrange(0, len(x) + 1)] + y
+        a, b = number(x), number(y)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, v in enumerate(a):
+            for j, w in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if v == w else max(best[i][j + 1], best[i + 1][j])
+        assert matched(np.array(x, np.uint32), np.array(y, np.uint32)) == best[-1][-1]
+
+
+def test_order_of_passages_counts():
+    rng = random.Random(9)
+    passages = [bytes(rng.randrange(97, 123) for _ in range(300)) for _ in range(12)]
+    straight, turned = anchors(b"".join(passages)), anchors(b"".join(reversed(passages)))
+    assert likeness(straight, turned) < 0.15
+    moved = anchors(b"new words before " + b"".join(passages[:6]) + b" and between " + b"".join(passages[6:]))
+    assert likeness(straight, moved) > 0.95

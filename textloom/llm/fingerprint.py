@@ -3,13 +3,15 @@
 A ``k``-byte window is an anchor if its smallest ``s``-byte substring, by hash,
 starts at its first or last place. Whether it is depends on the window alone, so
 unchanged passages keep their anchors whatever stands around them. A fingerprint
-lists all anchors in text order as ``hash:position`` in hexadecimal, however long the text is,
-and likenesses are those of the full sets.
+lists all anchors in text order as ``hash:position`` in hexadecimal, however long the text is.
+Likenesses match anchors by position: those of equal hash that follow one another in the
+same order in both texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,30 +23,38 @@ from textloom.llm import textkernel as tk
 from textloom.llm.shared import bounded_batches, written
 
 K, S = 12, 4
-#: Result rows go on once their fingerprints have so many bytes.
-FLUSH_BYTES = 4 << 20
+#: Rows are scanned in groups of so many bytes of text; a longer text stands alone.
+GROUP_BYTES = 1 << 19
+#: Parts of rows in id order, at most; the driver holds one bound and one link of each.
+PARTS = 65_536
 _HEX = np.frombuffer(b"".join(b"%02x" % k for k in range(256)), np.uint8).reshape(256, 2)
+Anchors = tuple[np.ndarray, np.ndarray]
 
 
-def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """(32-bit hashes, byte positions) of the closed syncmers of a text, in text order.
+def anchors_of(texts: list[bytes], k: int = K, s: int = S) -> list[Anchors]:
+    """(32-bit hashes, byte positions) of the closed syncmers of each text, in text order, from one pass over all.
 
-    The text is led by ``k - 1`` marks, so that even a short one has windows.
+    Each text is led by ``k - 1`` marks, so that even a short one has windows; an empty one has none.
     """
-    if not text:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    data = np.concatenate([np.full(k - 1, 2, np.uint8), np.frombuffer(text, np.uint8)])
+    lead, width = k - 1, k - s + 1
+    mark = b"\x02" * lead
+    data = np.frombuffer(b"".join(part for t in texts for part in (mark, t)), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([lead + len(t) for t in texts], dtype=np.int64)])
     n = len(data) - s + 1
+    if n < width:
+        return [(np.zeros(0, np.uint32), np.zeros(0, np.int64)) for _ in texts]
     small = np.zeros(n, np.uint64)
     for j in range(s):
         small = (small << np.uint64(8)) | data[j : j + n]
     small *= np.uint64(0x9E3779B97F4A7C15)
     small ^= small >> np.uint64(29)
     small *= np.uint64(0xBF58476D1CE4E5B9)
-    width = k - s + 1
     least = tk.window_min(small, width)
     at = np.flatnonzero((small[: len(least)] == least) | (small[width - 1 :] == least))
-    first = np.maximum(at - (k - 1), 0)
+    text = np.searchsorted(bounds, at, "right") - 1
+    whole = at + k <= bounds[text + 1]
+    at, text = at[whole], text[whole]
+    places = np.maximum(at - bounds[text] - lead, 0)
     hashes = np.zeros(len(at), np.uint64)
     for j in range(0, width, s):
         hashes = (hashes ^ small[at + j]) * np.uint64(0xD6E8FEB86659FD93)
@@ -52,7 +62,13 @@ def anchors(text: bytes, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray
     if (width - 1) % s:
         hashes = (hashes ^ small[at + width - 1]) * np.uint64(0xD6E8FEB86659FD93)
     hashes = (hashes >> np.uint64(32)).astype(np.uint32)
-    return hashes, first
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+    return [(hashes[a:b], places[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def anchors(text: bytes, k: int = K, s: int = S) -> Anchors:
+    """The closed syncmers of one text."""
+    return anchors_of([text], k, s)[0]
 
 
 def _digits(values: np.ndarray) -> np.ndarray:
@@ -60,22 +76,61 @@ def _digits(values: np.ndarray) -> np.ndarray:
     return _HEX[values.astype(">u4").view(np.uint8)].reshape(len(values), 8)
 
 
-def render(hashes: np.ndarray, places: np.ndarray) -> str:
-    if not len(hashes):
-        return ""
+def rendered(found: list[Anchors]) -> list[str]:
+    """The fingerprint of each text."""
+    if not found:
+        return []
+    hashes, places = (np.concatenate(part) for part in zip(*found, strict=True))
     out = np.empty((len(hashes), 18), np.uint8)
     out[:, :8], out[:, 8], out[:, 9:17], out[:, 17] = _digits(hashes), 58, _digits(places), 32
     keep = np.ones(out.shape, bool)
     keep[:, 9:16] = np.logical_or.accumulate(out[:, 9:16] != 48, axis=1)
-    return out[keep][:-1].tobytes().decode("ascii")
+    ends = np.concatenate([[0], np.cumsum(keep.sum(1))])[np.cumsum([0, *(len(f[0]) for f in found)])].tolist()
+    line = out[keep].tobytes().decode("ascii")
+    return [line[a : b - 1] if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def render(hashes: np.ndarray, places: np.ndarray) -> str:
+    return rendered([(hashes, places)])[0]
+
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes numbered by occurrence, index of each), sorted: the second of two equal hashes differs from the first."""
+    order = np.argsort(hashes, kind="stable")
+    own = hashes[order]
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    place = np.arange(len(own))
+    return own.astype(np.uint64) << np.uint64(32) | (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64), order
 
-def likeness(a: tuple, b: tuple) -> float:
-    """Share of anchors in common (Dice); 1 for two empty sets."""
-    x, y = np.unique(a[0]), np.unique(b[0])
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    return 2 * len(np.intersect1d(x, y, assume_unique=True)) / (len(x) + len(y))
+
+def matched(x: np.ndarray, y: np.ndarray) -> int:
+    """The most anchors, of texts with hashes ``x`` and ``y`` in text order, that match in the same order in both.
+
+    The i-th occurrence of a hash in one text matches the i-th in the other; the longest
+    rising run of matched places is found in n log n steps.
+    """
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    same = int(differ[0]) if len(differ) else n
+    if same == n:
+        return same
+    (a, in_x), (b, in_y) = _numbered(x[same:]), _numbered(y[same:])
+    _, at_x, at_y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    along = in_y[at_y][np.argsort(in_x[at_x])]
+    ends: list[int] = []
+    for place in along.tolist():
+        if not ends or place > ends[-1]:
+            ends.append(place)
+        else:
+            ends[bisect_left(ends, place)] = place
+    return same + len(ends)
+
+
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Share of anchors that match in order (Dice over both texts); 1 for two texts without anchors."""
+    total = len(a[0]) + len(b[0])
+    return 2 * matched(a[0], b[0]) / total if total else 1.0
 
 
 def edited(text: str, n: int, following: str) -> str:
@@ -89,27 +144,31 @@ def _scan(k: int, s: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def result(row: tuple, after: tuple) -> tuple:
-            doc, text, own = row[1], row[2], row[4]
-            changed = edited(text, len(text), after[2])
-            raw = changed.encode()
-            other = own if changed == text else anchors(raw, k, s)
-            return doc, len(text), hashlib.sha256(raw).hexdigest(), render(*own), render(*other), likeness(own, other), likeness(own, after[4])
-
         for batch in batches:
-            done, size = [], 0
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t or "" for t in batch.column(2).to_pylist()), batch.column(3).to_pylist(), strict=True):
-                now = (*row, anchors(row[2].encode(), k, s))
-                if held is not None and held[0] == now[0] and not held[3]:
-                    done.append(result(held, now))
-                    size += len(done[-1][3]) + len(done[-1][4])
-                held = now
-                if len(done) >= 500 or size >= FLUSH_BYTES:
-                    yield _rows(done)
-                    done, size = [], 0
-            if done:
-                yield _rows(done)
+            _, offs = tk.buffers(batch.column(2))
+            parts, ids, texts, closing = (c.to_pylist() for c in batch.columns)
+            for lo, hi in tk.slices(offs, GROUP_BYTES):
+                own = anchors_of([t.encode() for t in texts[lo:hi]], k, s)
+                now = list(zip(parts[lo:hi], ids[lo:hi], texts[lo:hi], closing[lo:hi], own, strict=True))
+                line = now if held is None else [held, *now]
+                held = now[-1]
+                pairs = [(x, y) for x, y in zip(line[:-1], line[1:], strict=True) if x[0] == y[0] and not x[3]]
+                if not pairs:
+                    continue
+                raw = [edited(x[2], len(x[2]), y[2]).encode() for x, y in pairs]
+                others = anchors_of(raw, k, s)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x[1] for x, _ in pairs], pa.int64()),
+                        pa.array([len(x[2]) for x, _ in pairs], pa.int64()),
+                        pa.array([hashlib.sha256(r).hexdigest() for r in raw]),
+                        pa.array(rendered([x[4] for x, _ in pairs])),
+                        pa.array(rendered(others)),
+                        pa.array([likeness(x[4], o) for (x, _), o in zip(pairs, others, strict=True)], pa.float64()),
+                        pa.array([likeness(x[4], y[4]) for x, y in pairs], pa.float64()),
+                    ],
+                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                )
 
     return run
 
@@ -117,11 +176,6 @@ def _scan(k: int, s: int):
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _rows(done: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, s: int = S, part_rows: int = 2000) -> DataFrame:
     """Fingerprints of every text and of its edited text, one row for each row of ``docs``.
 
@@ -136,8 +190,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.count()
-    parts = max(1, min(4096, total // part_rows))
-    bounds = [] if total == 0 else rows.agg(F.percentile_approx("id", [j / parts for j in range(1, parts)] or [0.5], 100 * parts).alias("b")).first()["b"] or []
+    parts = max(1, min(PARTS, total // part_rows))
+    bounds = [] if total == 0 else rows.agg(F.percentile_approx("id", [j / parts for j in range(1, parts)] or [0.5], min(100 * parts, 1_000_000)).alias("b")).first()["b"] or []
     cuts = np.unique(np.array(bounds, np.int64)) if parts > 1 else np.zeros(0, np.int64)
 
     @F.arrow_udf("int")
