@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.llm.langid import CHUNK, _forward, fit, gradients, identify, new_network
+from textloom.llm.langid import CHUNK, _forward, chunked, fit, gradients, identify, new_network, pooled
 
 SCHEMA = "doc_id long, text string, lang string, score double, label string"
 
@@ -59,3 +59,24 @@ def test_nothing_to_learn(spark):
     assert fit(none, F.lit(True)) is None and identify(none, None).count() == 0
     assert identify(spark.createDataFrame([(1, "text", None, 0.0, "")], SCHEMA), None).first()["lang_pred"] == "und"
     assert CHUNK % 2 == 0
+
+
+def test_stretches_cover_every_byte_once():
+    texts = [b"", b"a", bytes(range(97, 117)), b"x" * 10, bytes(k % 251 for k in range(333))]
+    low, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for size, reach in ((10, 0), (10, 3), (7, 20), (400, 2)):
+        chunks, first = chunked(low, offsets, size, reach)
+        assert chunks.shape == (size + 2 * reach, first[-1])
+        for k, text in enumerate(texts):
+            padded = b" " * reach + text + b" " * (size + reach)
+            assert [c.tobytes() for c in chunks.T[first[k] : first[k + 1]]] == [padded[p : p + size + 2 * reach] for p in range(0, len(text), size)]
+    assert chunked(low[:0], np.zeros(3, np.int64), 5, 1)[0].shape == (7, 0)
+
+
+def test_pooling_is_the_same_whatever_stands_beside():
+    net = new_network(["a", "b", "c"], 4, np.random.default_rng(3))
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(32, 256, n).astype(np.uint8) for n in (0, 5, 256, 257, 5000, 0, 700)]
+    together = pooled(net, np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    for k, text in enumerate(texts):
+        assert np.abs(pooled(net, text, np.array([0, len(text)])) - together[k]).max() < 1e-5

@@ -1,10 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Texts are cut into chunks of ``CHUNK`` bytes; a forward and a backward gated
-recurrent layer read each chunk and a softmax labels every byte's place. A document's
-probabilities are the mean over the places of its letters. The network is trained in
-numpy by backpropagation through time on windows of at most ``per_label`` documents
-of each language; predicting reads every byte of every text.
+A forward and a backward gated recurrent layer read a text and a softmax labels every
+byte's place. Texts are read in overlapping stretches: ``CORE`` bytes are labelled, and the
+layers come to them from ``REACH`` bytes further out on either side, so no word is cut where
+a stretch ends. A document's probabilities are the mean over the places of its letters. The
+network is trained in numpy by backpropagation through time over stretches of ``CHUNK`` bytes,
+led in alike, of the whole texts of at most ``per_label`` documents of each language, short and
+long ones drawn alike; predicting reads every byte of every text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 from textloom.llm import textkernel as tk
 from textloom.llm.shared import bounded_batches, written
 
-CHUNK, HIDDEN, PER_LABEL, WINDOWS, STEPS, RATE = 64, 8, 1500, 4, 500, 0.02
+CHUNK, LEAD, HIDDEN, PER_LABEL, STEPS, RATE = 64, 16, 8, 1000, 500, 0.02
+CORE, REACH = 256, 32
+#: Scores held at once in predicting.
+SCORES = 4_000_000
 UNKNOWN = "und"
 #: Labels and drawn rows are broadcast up to this number (some 40 MB), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -130,17 +135,19 @@ def gradients(net: Network, chunks: np.ndarray, target: np.ndarray, weight: np.n
     return loss, [d_table, d_inner * _mask(h), d_out, d_bias]
 
 
-def train(windows: np.ndarray, target: np.ndarray, labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, rate: float = RATE, batch: int = 384, seed: int = 5) -> Network:
-    """A network fitted to byte windows [windows, CHUNK] by Adam; batches draw each label alike."""
+def train(windows: np.ndarray, target: np.ndarray, labels: list[str], share: np.ndarray, hidden: int = HIDDEN, steps: int = STEPS, rate: float = RATE, batch: int = 256, seed: int = 5) -> Network:
+    """A network fitted to byte windows [windows, CHUNK + 2 LEAD] by Adam; batches draw each label alike and its windows by ``share``."""
     rng = np.random.default_rng(seed)
     net = new_network(labels, hidden, rng)
     parts = [net.table, net.inner, net.out, net.bias]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     members = [np.flatnonzero(target == k) for k in range(len(labels))]
+    running = [np.cumsum(share[m]) for m in members]
+    core = ((np.arange(windows.shape[1]) >= LEAD) & (np.arange(windows.shape[1]) < LEAD + CHUNK))[:, None]
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(m, max(1, batch // len(labels))) for m in members if len(m)])
+        pick = np.concatenate([m[np.searchsorted(c[:-1], rng.random(max(1, batch // len(labels))) * c[-1], "right")] for m, c in zip(members, running, strict=True)])
         chunks = np.ascontiguousarray(windows[pick].T)
-        _, grads = gradients(net, chunks, target[pick], _LETTER[chunks].astype(np.float32))
+        _, grads = gradients(net, chunks, target[pick], (_LETTER[chunks] & core).astype(np.float32))
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, a, b in zip(parts, grads, first, second, strict=True):
             a += 0.1 * (g - a)
@@ -149,26 +156,33 @@ def train(windows: np.ndarray, target: np.ndarray, labels: list[str], hidden: in
     return net
 
 
-def chunked(low: np.ndarray, offsets: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes [size, chunks], index of each document's first chunk); a document's last chunk is filled with spaces."""
+def chunked(low: np.ndarray, offsets: np.ndarray, size: int = CHUNK, reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes [size + 2 reach, chunks], index of each document's first chunk).
+
+    A chunk is ``size`` bytes of a document with ``reach`` more on either side; what lies outside the document is spaces.
+    """
     counts = -(-np.diff(offsets) // size)
     first = np.concatenate([[0], np.cumsum(counts)])
+    if not len(low):
+        return np.zeros((size + 2 * reach, 0), np.uint8), first
     doc = np.repeat(np.arange(len(counts)), counts)
     start = offsets[:-1][doc] + size * (np.arange(first[-1]) - first[:-1][doc])
-    at = start[None, :] + np.arange(size)[:, None]
-    inside = at < offsets[1:][doc][None, :]
-    return np.where(inside, low[np.minimum(at, max(0, len(low) - 1))], 0x20).astype(np.uint8) if len(low) else np.zeros((size, 0), np.uint8), first
+    at = start[None, :] + np.arange(-reach, size + reach)[:, None]
+    inside = (at >= offsets[:-1][doc][None, :]) & (at < offsets[1:][doc][None, :])
+    return np.where(inside, low[np.clip(at, 0, len(low) - 1)], 0x20).astype(np.uint8), first
 
 
-def pooled(net: Network, low: np.ndarray, offsets: np.ndarray, width: int = 2048) -> np.ndarray:
+def pooled(net: Network, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean label probabilities over the letters of each document: [documents, labels]; 0 without letters."""
-    chunks, first = chunked(low, offsets)
+    chunks, first = chunked(low, offsets, CORE, REACH)
+    core = slice(REACH, REACH + CORE)
+    width = min(2048, max(64, SCORES // (len(chunks) * len(net.labels))))
     sums, counts = np.zeros((len(net.labels), chunks.shape[1])), np.zeros(chunks.shape[1])
     for lo in range(0, chunks.shape[1], width):
         own = np.ascontiguousarray(chunks[:, lo : lo + width])
-        p = _forward(net, own)
+        p = _forward(net, own)[core]
         np.exp(np.minimum(p, 60, out=p), out=p)
-        letter = _LETTER[own]
+        letter = _LETTER[own[core]]
         scale = letter / p.sum(1)
         sums[:, lo : lo + width] = np.einsum("tln,tn->ln", p, scale)
         counts[lo : lo + width] = letter.sum(0)
@@ -204,29 +218,23 @@ def _predict(net: Network | None):
     return run
 
 
-def _windows(count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = tk.buffers(batch.column(1))
-            labels, bits = [], []
-            for k, label in enumerate(batch.column(0).to_pylist()):
-                low = tk.LOWER[data[offs[k] : offs[k + 1]]]
-                if not len(low):
-                    continue
-                spare = max(0, len(low) - CHUNK)
-                for j in range(count if spare else 1):
-                    piece = low[spare * j // max(1, count - 1) :][:CHUNK].tobytes()
-                    labels.append(label)
-                    bits.append(piece.ljust(CHUNK))
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(bits, pa.binary())], ["label", "piece"])
-
-    return run
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of each text, with its label and one by their number."""
+    for batch in batches:
+        data, offs = tk.buffers(batch.column(1))
+        for lo, hi in tk.slices(offs):
+            windows, first = chunked(tk.LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], CHUNK, LEAD)
+            raw = np.ascontiguousarray(windows.T).tobytes()
+            pieces = pa.Array.from_buffers(pa.binary(len(windows)), windows.shape[1], [None, pa.py_buffer(raw)]).cast(pa.binary())
+            count = np.diff(first)
+            text = np.repeat(np.arange(hi - lo), count)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(text)), pieces, pa.array(1.0 / count[text])], ["label", "piece", "share"])
 
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL, **options) -> Network | None:
-    """A network trained on ``usable`` rows with a language: of each, ``WINDOWS`` windows of ``per_label`` documents at most.
+    """A network trained on ``usable`` rows with a language: of each, the whole texts of ``per_label`` documents at most.
 
-    None if there are none. Documents are drawn by the hash of their id: those of the smallest hashes, of which a bound leaves
+    None if there are none. The driver holds these texts in bytes: some 3 MB a language where texts have 2 kB. Documents are drawn by the hash of their id: those of the smallest hashes, of which a bound leaves
     ten standard deviations more than ``per_label`` to be ranked.
     """
     bounded_batches(docs.sparkSession)
@@ -241,13 +249,14 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     drawn = written(drawn, "drawn")
     small = drawn.count() <= BROADCAST_ROWS
-    pieces = texts.join(F.broadcast(drawn) if small else drawn, ["id", "label"], "left_semi").select("label", "text").mapInArrow(_windows(WINDOWS), "label string, piece binary").toArrow()
+    pieces = texts.join(F.broadcast(drawn) if small else drawn, ["id", "label"], "left_semi").select("label", "text").mapInArrow(_windows, "label string, piece binary, share double").toArrow()
     if not pieces.num_rows:
         return None
-    pairs = sorted(zip(pieces["label"].to_pylist(), pieces["piece"].to_pylist(), strict=True))
-    labels = sorted({p[0] for p in pairs})
-    windows = np.frombuffer(b"".join(p[1] for p in pairs), np.uint8).reshape(-1, CHUNK)
-    return train(windows, np.searchsorted(labels, [p[0] for p in pairs]), labels, **options)
+    rows = sorted(zip(*(pieces[c].to_pylist() for c in ("label", "piece", "share")), strict=True))
+    names, pieces, shares = zip(*rows, strict=True)
+    labels = sorted(set(names))
+    windows = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)
+    return train(windows, np.searchsorted(labels, names), labels, np.array(shares), **options)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
