@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from textloom.functions.rx import col, rx_chain, rx_sub, trimmed, words
+from textloom.functions.rx import col, rx_sub, swap, trimmed, words
 
 #: Opening and closing brackets and currency signs, as character classes.
 OPENING = (
@@ -25,37 +24,35 @@ CURRENCY = (
     r"\x{a838}\x{fdfc}\x{fe69}\x{ff04}\x{ffe0}\x{ffe1}\x{ffe5}\x{ffe6}]"
 )
 
-#: Rewrites in the order in which they apply.
-_STEPS = [
-    (r"\x{00A0}", " "),
-    (r"([،;؛¿!\"\])}»›”؟¡%٪°±©®।॥…])", " $1 "),
-    (r"([({\[ˮ“‘„‚«‹「『])", " $1 "),
-    (r":(?!//)", " : "),
-    (r"\?(?=[ \t\n\r]|\z)", " ? "),
-    (r"& ", "&amp; "),
-    (r"\t", " &#9; "),
-    (r"\|", " &#124; "),
-    (f"({OPENING})", "$1 "),
-    (f"({CLOSING})", " $1 "),
-    (r"(,{2,})", " $1 "),
-    (r"(?<![,،])([,،])(?![,،0-9])", " $1 "),
-    (r"(['’`])", " $1 "),
-    (r" ` ` ", " `` "),
-    (r" ' ' ", " '' "),
-    (f"({CURRENCY})", "$1 "),
-    (r"([–—])", " $1 "),
-    (r"(-{2,})", " $1 "),
-    (r"(\.{2,})", " $1 "),
-]
-_FINAL, _FINAL_QUOTED = r"(?U)(?<!\.)\.(?=\s*\z)", r"(?U)(?<!\.)\.\s*([\"'’»›”])(?=\s*\z)"
+#: Marks that get a space on either side, in two sets.
+MARKS = r"،;؛¿!\"\])}»›”؟¡%٪°±©®।॥…"
+OPENERS = r"({\[ˮ“‘„‚«‹「『"
+
+# Spaces next to each other become one in the end, so steps that only set spaces and do not read those of
+# one another share a pass. A look at a short class first spares most characters the long ones.
+_COLON = ":(?!//)"
+_ASKED = rf"\?(?=[ \t\n\r{MARKS}{OPENERS}]|{_COLON}|\z)"
+_MARKED = rf"(?=[;!\"\])}}%({{\[:?\x{{80}}-\x{{10FFFF}}])(?:[{MARKS}{OPENERS}]|{_COLON}|{_ASKED})"
+#: Characters that are replaced, in the order in which it happens.
+_NAMED = (("& ", "&amp; "), ("\t", " &#9; "), ("|", " &#124; "))
+_AROUND = rf"(?=[,.\-'`\x{{80}}-\x{{10FFFF}}])(?:['’`–—]|,{{2,}}|,(?![0-9])|-{{2,}}|\.{{2,}}|{CLOSING})"
+_AFTER = rf"(?=[$\x{{80}}-\x{{10FFFF}}])(?:{OPENING}|{CURRENCY})"
+_FINAL = r"(?U)(?<!\.)\.(?:(?=\s*\z)|\s*([\"'’»›”])(?=\s*\z))"
+
+
+def _spaced(text: Column | str) -> Column:
+    """The text with one or more spaces between its tokens."""
+    c = rx_sub(swap(col(text), "\u00a0", " "), _MARKED, " $0 ")
+    for old, new in _NAMED:
+        c = swap(c, old, new)
+    c = rx_sub(rx_sub(c, _AROUND, " $0 "), _AFTER, "$0 ")
+    return rx_sub(c, _FINAL, " . $1")
 
 
 def toktok_text(text: Column | str) -> Column:
     """The text with single spaces between its tokens."""
-    c = rx_chain(col(text), _STEPS)
-    c = F.when(c.rlike(_FINAL), rx_sub(c, _FINAL, " . ")).otherwise(rx_sub(c, _FINAL_QUOTED, " . $1"))
-    return trimmed(rx_sub(c, " {2,}", " "))
+    return trimmed(rx_sub(_spaced(text), " {2,}", " "))
 
 
 def toktok_tokenize(text: Column | str) -> Column:
-    return words(toktok_text(text))
+    return words(_spaced(text))
