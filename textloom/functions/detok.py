@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from textloom.functions.rx import col, rx_chain, swap, trimmed
 from textloom.functions.words import BRACKETS
 
+# Every pattern looks for its space first: that costs less than looking back at each character.
 #: Spaces that go before and after contractions and closing quotes.
-_CONTRACTIONS = r"(?<=[^ \t]) (?='')|(?<=[^' ]) (?='(?:[sSmMdD]|ll|LL|re|RE|ve|VE)? )|(?<=[^' ]) (?=(?:n't|N'T) )|(?<![^ \t] '')(?<='') (?=[.,:)\]>};%])"
+_CONTRACTIONS = r"(?= )(?:(?<=[^ \t]) (?='')|(?<=[^' ]) (?='(?:[sSmMdD]|ll|LL|re|RE|ve|VE)? )|(?<=[^' ]) (?=(?:n't|N'T) )|(?<![^ \t] '')(?<='') (?=[.,:)\]>};%]))"
 #: Spaces that go around punctuation.
 _SPACING = [
-    (r"(?<![\[({<#$\])}>])(?<!``) \.\.\. ", "\x02"),
-    (r"(?<=[\[({<#$]) | (?=[\])}>?!;%:,])|(?<=[\])}>]) (?=[:;,.])|(?<!') (?='[ \x02])|(?<!\.) (?=\.[\])}>\[({<\"'`]* *\z)|(?<=``) ", ""),
+    (r"(?= \.)(?<![\[({<#$\])}>])(?<!``) \.\.\. ", "\x02"),
+    (r"(?= )(?:(?<=[\[({<#$]) | (?=[\])}>?!;%:,])|(?<=[\])}>]) (?=[:;,.])|(?<!') (?='[ \x02])|(?<!\.) (?=\.[\])}>\[({<\"'`]* *\z)|(?<=``) )", ""),
     ("\x02", "..."),
 ]
 

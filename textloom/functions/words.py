@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.rx import col, rx_sub, swap, words
+from textloom.functions.rx import col, rx_all, rx_sub, swap
 from textloom.functions.sentences import SentenceModel, sent_tokenize
 
 #: Words that are two tokens, as (first part, second part).
@@ -24,21 +24,28 @@ _OPENING = [
     (r"(?U)'(?![mtsdnMTSDN]\b)(\w)\b", "' $1"),
 ]
 _PUNCTUATION = [
-    (r"(?U)([^\.])(\.)([\]\[\)}>\"'»”’]*)\s*\z", "$1 $2 $3 "),
+    (r"(?U)(?<=[^\.])\.([\]\[\)}>\"'»”’]*)\s*\z", " . $1 "),
     (r"(?U)([:,])([^\d])", " $1 $2"),
     (r"([:,])\z", " $1 "),
     ("...", " ... "),
     (r"[;@#$%&]", " $0 "),
-    (r"(?U)([^\.])(\.)([\]\[\)}>\"']*)\s*\z", "$1 $2$3 "),
+    (r"(?U)(?<=[^\.])\.([\]\[\)}>\"']*)\s*\z", " .$1 "),
     (r"[?!]", " $0 "),
     (r"([^'])' ", "$1 ' "),
     (r"[*\]\[(){}<>]", " $0 "),
 ]
-_CLOSING = [(r"([»”’])", " $1 "), ("''", " '' "), ('"', " '' "), (r"(?U)\s+", " "), (r"([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "), (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 ")]
+_CLOSING = [
+    (r"[»”’]", " $0 "),
+    ("''", " '' "),
+    ('"', " '' "),
+    (r"(?U) \s+|[\s&&[^ ]]\s*", " "),  # single spaces stay as they are
+    (r"(?=')(?<=[^' ])'[sSmMdD]? ", " $0"),
+    (r"(?=['nN])(?<=[^' ])(?:'ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", " $0"),
+]
 # all contractions in one pass: a first part counts only before its own second part
 _FIRST = "|".join(rf"{a}(?={b}\b)" for a, b in CONTRACTIONS)
 _SECOND = "|".join(sorted({b for _, b in CONTRACTIONS}))
-_SPLIT = [(rf"(?iuU)\b({_FIRST})({_SECOND})\b", " $1 $2 "), (r"(?iuU) ('t)(is|was)\b", " $1 $2 ")]
+_SPLIT = [(rf"(?=[cdglmwCDGLMW])(?iuU)\b({_FIRST})({_SECOND})\b", " $1 $2 "), (r"(?iuU) ('t)(is|was)\b", " $1 $2 ")]
 
 
 def _steps(c: Column, steps: list[tuple[str, str]]) -> Column:
@@ -59,7 +66,7 @@ def treebank_tokenize(text: Column | str, convert_parentheses: bool = False) ->
         for mark, name in BRACKETS:
             c = swap(c, mark, name)
     c = F.concat(F.lit(" "), swap(c, "--", " -- "), F.lit(" "))
-    return words(_steps(_steps(c, _CLOSING), _SPLIT))
+    return rx_all(_steps(_steps(c, _CLOSING), _SPLIT), "[^ ]+")  # all other white space is gone
 
 
 def needs_sentence_split(text: Column | str) -> Column:
