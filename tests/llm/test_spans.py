@@ -1,7 +1,7 @@
 import random
 import re
 
-from textloom.llm.spans import without_repeats
+from textloom.llm.spans import LONG, MIN_SENTENCES, without_repeats
 
 SCHEMA = "doc_id long, text string, key string, n_removed string, places int"
 
@@ -25,7 +25,8 @@ def brute(rows, least):
         for i in range(len(own)):
             for j in range(i + 1, len(own) + 1):
                 run = sum((w for _, w in own[i:j]), [])
-                if len(run) >= least:
+                alone = j == i + 1 and len(run) >= max(LONG, least)
+                if alone or (len(run) >= least and j - i >= MIN_SENTENCES):
                     if tuple(run) in seen or tuple(run) in found:
                         gone |= set(range(i, j))
                     found.append(tuple(run))

@@ -1,9 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 A sentence ends with a word that ends in ``. ! ?`` (closing quotes and brackets
-may follow) or at a line break. From every sentence on, the run of consecutive
-sentences that first holds ``min_words`` words is hashed over its A-Z lower-cased
-words. Runs are joined by hash over the whole corpus; wherever a run occurs again,
+may follow) or at a line break. From every sentence on, the run of at least ``MIN_SENTENCES``
+consecutive sentences that first holds ``min_words`` words is hashed over its A-Z lower-cased
+words; a sentence of ``LONG`` words, a passage by itself, is a run alone. Runs are joined by hash over the whole corpus; wherever a run occurs again,
 all but its first occurrence (smallest id, then place) are removed, sentence by sentence.
 """
 
@@ -22,6 +22,9 @@ from textloom.llm import textkernel as tk
 from textloom.llm.shared import bounded_batches, free_name, written
 
 MIN_WORDS = 20
+MIN_SENTENCES = 2
+#: Words of a sentence that needs no neighbour.
+LONG = 50
 _ENDS, _CLOSES = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 _CLOSES[list(b"\"')]}")] = True
@@ -58,6 +61,8 @@ def run_hashes(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[n
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(own))
     bounds = np.append(at, len(starts))
     stop = np.searchsorted(bounds, at + min_words, "left")
+    several = np.arange(len(at)) + MIN_SENTENCES
+    stop = np.where(np.diff(bounds) >= max(LONG, min_words), stop, np.maximum(stop, several))
     held = np.flatnonzero((stop < len(bounds)) & (stop <= own[1:][doc]))
     power, inverse = tk._power(len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, np.uint64)
