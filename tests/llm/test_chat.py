@@ -11,6 +11,7 @@ ROWS = [
     (2, 0, "user", "same"), (2, 1, "assistant", None), (3, 0, "user", "same"), (3, 1, "assistant", None),
     (4, 0, None, "alone"), (7, 0, "user", "no chosen"), (None, 0, "user", "lost"),
     (8, 1, "user", "tie b"), (8, 1, "user", "tie a"), (8, 1, "user", "tie a"), (8, None, "system", ""), (9, 0, "user", "x" * 200_000), (9, 1, "assistant", "short"),
+    (10, 0, "a|>\n<|assistant", "x<"), (11, 0, "<", "y"),
 ]
 
 
@@ -23,6 +24,7 @@ def test_against_sql(spark):
     row = {r["pair_id"]: r for r in got.collect()}
     assert row[0]["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\none < |end|><|end|>\n" and row[0]["n_prefix"] == 2
     assert row[0]["chosen"] == "<|user|>\nmore<|end|>\n<|assistant|>\né😀<|end|>\n" and row[0]["chosen_mask"] == "0:21 0:14 1:10"
+    assert row[5]["chosen"] == "<|a_____assistant|>\nx<<|end|>\n" and row[5]["rejected"] == "<|_|>\ny<|end|>\n"
     assert row[1]["chosen"] == row[1]["rejected"] == "" and row[2]["rejected"] is None and row[3]["chosen"] is None
 
 

@@ -13,6 +13,11 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
 
+def _name(role: Column) -> Column:
+    """A role must not hold any sign of the mark that it stands in, or it could forge another."""
+    return F.translate(F.coalesce(role, F.lit("")), "<|>\r\n", "_____")
+
+
 def _joined(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(t["head"], t["body"])), "")
 
@@ -32,7 +37,8 @@ def preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str =
     repeated rows have one order. The longest common prefix of turns equal in role
     and text (null equals null) becomes ``prompt``, rendered once; the rest of each
     conversation becomes a completion, with a mask that marks the assistant's
-    words and end marks. Null roles and texts render as empty. A missing
+    words and end marks. Null roles and texts render as empty; ``<|`` in texts, and the signs ``< | >`` and line ends
+    in roles, are rewritten, so no turn can forge a mark. A missing
     side has null completion and mask and shares nothing. Rows without pair or side
     belong to no conversation and are left out. No rows give none.
 
@@ -45,7 +51,7 @@ def preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col: str =
     both = rows.groupBy("pair_id").agg(side(F.col("is_chosen")).alias("a"), side(~F.col("is_chosen")).alias("b"))
     differs = lambda x, i: ~((i < F.size("b")) & x["role"].eqNullSafe(F.get("b", i)["role"]) & x["text"].eqNullSafe(F.get("b", i)["text"]))
     first = F.array_min(F.transform("a", lambda x, i: F.when(differs(x, i), i)))
-    drawn = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit("<|"), _escaped(t["role"]), F.lit("|>\n")).alias("head"), F.concat(_escaped(t["text"]), F.lit(TURN_END)).alias("body")))
+    drawn = lambda c: F.transform(c, lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit("<|"), _name(t["role"]), F.lit("|>\n")).alias("head"), F.concat(_escaped(t["text"]), F.lit(TURN_END)).alias("body")))
     both = both.withColumn("n_prefix", F.coalesce(first, F.size("a")))
     both = both.select("pair_id", "n_prefix", F.size("a").alias("chosen_turns"), F.size("b").alias("rejected_turns"), drawn("a").alias("a"), drawn("b").alias("b"))
     rest = lambda c: F.slice(c, F.col("n_prefix") + 1, F.greatest(F.size(c) - F.col("n_prefix"), F.lit(0)))
@@ -78,8 +84,8 @@ p AS (
       lambda x: x IS NOT NULL)), len(a)) AS n FROM g),
 d AS (
   SELECT pair_id, n, len(a) AS na, len(b) AS nb,
-    list_transform(a, lambda t: {'role': t.role, 'head': '<|' || replace(coalesce(t.role, ''), '<|', '< |') || '|>' || chr(10), 'body': replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10)}) AS a,
-    list_transform(b, lambda t: {'role': t.role, 'head': '<|' || replace(coalesce(t.role, ''), '<|', '< |') || '|>' || chr(10), 'body': replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10)}) AS b
+    list_transform(a, lambda t: {'role': t.role, 'head': '<|' || translate(coalesce(t.role, ''), '<|>' || chr(13) || chr(10), '_____') || '|>' || chr(10), 'body': replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10)}) AS a,
+    list_transform(b, lambda t: {'role': t.role, 'head': '<|' || translate(coalesce(t.role, ''), '<|>' || chr(13) || chr(10), '_____') || '|>' || chr(10), 'body': replace(coalesce(t.text, ''), '<|', '< |') || '<|end|>' || chr(10)}) AS b
   FROM p)
 SELECT pair_id, CAST(n AS INTEGER) AS n_prefix, CAST(na AS INTEGER) AS chosen_turns, CAST(nb AS INTEGER) AS rejected_turns,
   coalesce(array_to_string(list_transform(a[1:n], lambda t: t.head || t.body), ''), '') AS prompt,
