@@ -224,6 +224,25 @@ def test_sql_names_streams_and_files(spark, tmp_path):
     assert callable(aliases.toktok_tokenize_batch_gpu) and callable(aliases.texttiling_tokenize_gpu) and callable(aliases.xml_escape_py)
 
 
+def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
+    from textloom.streaming.texts import stream_texts, windowed_counts
+
+    folder, schema = str(tmp_path / "in"), "ts timestamp, text string"
+    batch = lambda *rows: spark.createDataFrame(rows, "ts string, text string").select(F.to_timestamp("ts").alias("ts"), "text").write.mode("append").parquet(folder)
+    batch(("2024-01-01 12:00:10", "a b"), ("2024-01-01 12:04:00", "a"))
+    counts = windowed_counts(stream_texts(spark, folder, schema), fn.whitespace_tokenize, "ts")
+    query = counts.writeStream.format("memory").queryName("counts_out").outputMode("append").start()
+    query.processAllAvailable()
+    assert spark.table("counts_out").count() == 0  # the window is open
+    batch(("2024-01-01 12:03:00", "b"), ("2024-01-01 12:30:00", "c"))  # out of order, but not late
+    query.processAllAvailable()
+    batch(("2024-01-01 12:02:00", "a"), ("2024-01-01 12:50:00", "d"))  # the first is later than ten minutes
+    query.processAllAvailable()
+    query.stop()
+    got = {(r["window"]["start"].strftime("%H:%M"), r["token"], r["n"]) for r in spark.table("counts_out").collect()}
+    assert got == {("12:00", "a", 2), ("12:00", "b", 2), ("12:30", "c", 1)}
+
+
 def test_spans_of_long_texts_take_one_pass(spark):
     import time
 

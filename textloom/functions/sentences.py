@@ -57,6 +57,7 @@ UC, LC = BEG_UC | MID_UC | UNK_UC, BEG_LC | MID_LC | UNK_LC
 #: Marks before which no sentence starts.
 MARKS = (";", ":", ",", ".", "!", "?", '"', "'", "``", "''", "(", ")", "[", "]", "{", "}", "<", ">")
 
+#: The name of numbers, and the patterns of tokens and of the text around them.
 NUMBER = "##number##"
 _SPACE = r"[^\S\x1c-\x1f]"
 _MULTI = rf"(?:-{{2,}}|\.{{2,}}|(?:\.(?!\n){_SPACE}){{2,}}\.)"

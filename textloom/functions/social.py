@@ -17,7 +17,8 @@ ENTITIES = (
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&laquo;", "«"), ("&raquo;", "»"),
 )
 
-#: Patterns of the kinds of tokens, tried in this order.
+#: Patterns of the kinds of tokens, tried in this order. Classes stand where alternatives of single
+#: characters would match the same, as repeated alternatives recurse deeply in Java.
 EMOTICON = r"(?:[<>]?[:;=8][\-o\*']?[\)\]\(\[dDpP/:\}\{@\|\\]|[\)\]\(\[dDpP/:\}\{@\|\\][\-o\*']?[:;=8][<>]?|</?3)"
 URL = r"(?:https?://[^\s<>\[\]{}()]+|[a-z0-9]+(?:[.\-][a-z0-9]+)*\.[a-z]{2,13}\b/?(?:[^\s()<>{}\[\]]+)?)"
 PHONE = r"(?:\+?[01][ *\-.)]*\(?\d{3}[ *\-.)]*\d{3}[ *\-.)]*\d{4})"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import sentences as s
 from textloom.functions.rx import rx_all
 
+#: The token patterns of ``textloom.functions.sentences`` in the dialect of built-in functions.
 _MULTI = r"(?:\-{2,}|\.{2,}|(?:\.[^\S\n]){2,}\.)"
 _NO_WORD = r"""[)";}\]*:@'(\{\[?!]"""
 _START = r"""[^\(\"\\`{\[:;&\#\*@\)}\]\-,]"""
