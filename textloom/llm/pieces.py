@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import bounded_batches
 
-MARK, CACHE_BYTES, PAIRS = "▁", 256 << 20, 2_000_000
+MARK, CACHE_BYTES, PAIRS = "▁", 128 << 20, 500_000
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 INF = float("inf")
 
@@ -64,19 +64,23 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Paths(dict):
-    """Packed ids of words, found when first asked for; all are forgotten once they take ``CACHE_BYTES``."""
+    """Packed ids of words, found when first asked for. Half of ``CACHE_BYTES`` holds those of late, the other half those before them:
+    when the first is full the second is forgotten, but for words that have been asked for again."""
 
     def __init__(self, path) -> None:
         super().__init__()
-        self.path, self.held = path, 0
+        self.path, self.held, self.older = path, 0, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = array("i", self.path(word.replace(" ", MARK))).tobytes()
+        found = self.older.pop(word, None)
+        if found is None:
+            found = array("i", self.path(word.replace(" ", MARK))).tobytes()
         size = 200 + 4 * len(word) + len(found)
-        if self.held + size > CACHE_BYTES:
+        if self.held + size > CACHE_BYTES // 2:
+            self.older = dict(self)
             self.clear()
             self.held = 0
-        if size <= CACHE_BYTES:
+        if size <= CACHE_BYTES // 2:
             self[word] = found
             self.held += size
         return found
